@@ -26,11 +26,15 @@ def numbered_instants(
     inside hourly buckets and shifted by the number of runs that start in earlier buckets.
     """
     instants = (
-        series.groupBy("sensor_ID", "date")
+        series.where("sensor_ID IS NOT NULL AND date IS NOT NULL")
+        .groupBy("sensor_ID", "date")
         .agg(F.count("wl").alias("drawn"), F.count(F.lit(1)).alias("n"))
         .withColumn("blank", F.col("n") - F.col("drawn"))
         .drop("n")
         .withColumn("bucket", bucket_of("date", seconds))
+        # Spark infers this filter on one side of the join below; stated here it holds on
+        # both, and both read the same shuffle.
+        .where(F.col("bucket").isNotNull())
     )
     inside = Window.partitionBy("sensor_ID", "bucket").orderBy("date")
     prev = F.lag(F.struct("date", "drawn")).over(inside)

@@ -1,6 +1,6 @@
 """The flood status over all past time, as intervals."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.functions.clock import instant
@@ -23,35 +23,39 @@ def status_timeline(
     nine different pairs of them, however many readings share it.
     """
     pairs = F.collect_set(F.struct(above_alert().alias("alert"), above_road().alias("road")))
-    instants = readings.groupBy("sensor_ID", "date").agg(pairs.alias("pairs"))
-    silent_from = F.timestamp_micros(F.unix_micros("date") + (current_min + 1) * 60_000_000)
-    down_from = F.timestamp_micros(F.unix_micros("date") + down_min * 60_000_000)
-    alert, road = F.col("pair.alert"), F.col("pair.road")
-    stretches = F.array(
-        F.struct(
-            F.col("date").alias("from_ts"),
-            F.least(silent_from, down_from).alias("until"),
-            current_status(alert, road).alias("flood_status"),
-        ),
-        F.struct(
-            silent_from.alias("from_ts"),
-            down_from.alias("until"),
-            silent_status(alert, road).alias("flood_status"),
-        ),
-        F.struct(
-            down_from.alias("from_ts"),
-            F.lit(None).cast("timestamp").alias("until"),
-            F.lit("UNKNOWN").alias("flood_status"),
-        ),
+    instants = (
+        readings.where("sensor_ID IS NOT NULL")
+        .groupBy("sensor_ID", "date")
+        .agg(pairs.alias("pairs"))
+    )
+
+    def after(minutes: int) -> Column:
+        return F.timestamp_micros(F.unix_micros("date") + minutes * 60_000_000)
+
+    def stretch(begin: Column, until: Column, statuses: Column) -> Column:
+        """The instant's different statuses over one stretch, as interval structs."""
+        return F.transform(
+            F.array_distinct(statuses),
+            lambda s: F.struct(
+                begin.alias("from_ts"), until.alias("until"), s.alias("flood_status")
+            ),
+        )
+
+    def each(rule) -> Column:
+        return F.transform("pairs", lambda pair: rule(pair["alert"], pair["road"]))
+
+    silent_from, down_from = after(current_min + 1), after(down_min)
+    stretches = F.concat(
+        stretch(F.col("date"), F.least(silent_from, down_from), each(current_status)),
+        stretch(silent_from, down_from, each(silent_status)),
+        stretch(down_from, F.lit(None).cast("timestamp"), F.array(F.lit("UNKNOWN"))),
     )
     return (
         with_next(instants, "sensor_ID", "date", seconds)
-        .withColumn("pair", F.explode("pairs"))
         .select("sensor_ID", "next_ts", F.inline(stretches))
         .withColumn("to_ts", F.least("until", "next_ts"))  # least skips NULLs
         .where(F.col("to_ts").isNull() | (F.col("from_ts") < F.col("to_ts")))
         .select("sensor_ID", "from_ts", "to_ts", "flood_status")
-        .distinct()
     )
 
 
