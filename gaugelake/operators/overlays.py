@@ -72,7 +72,9 @@ def dispatched(
     a gauge shared by many sensors stay where they were read.
     """
     src = F.upper("src")
-    tide = tide_levels(payloads, kind, start, end).join(gauges.where(src == "NOAA"), "id")
+    noaa = gauges.where(src == "NOAA")
+    asked = payloads.join(noaa.select("id").distinct(), "id", "left_semi")  # before parsing
+    tide = tide_levels(asked, kind, start, end).join(noaa, "id")
     stored = provider_observations(provider, start, end).join(
         gauges.where(src.isin("FIMAN", "HOHONU")), "id"
     )

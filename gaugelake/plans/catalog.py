@@ -461,7 +461,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     one file needs; a folder of that name matches too."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.readStream.schema(testdata.EVENTS).parquet(f"{sf_dir}/events.parque[t]")
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+    names = spark.read.schema(testdata.NATION).parquet(f"{sf_dir}/nation.parquet")
     return testdata.events_as_readings(events, names)
 
 

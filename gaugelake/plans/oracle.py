@@ -604,4 +604,30 @@ ORACLE = {
     "q_stream_status": _sql(
         ["judged"], 'select "sensor_ID", time_since_measurement, flood_status from judged'
     ),
+    "q_stream_changes": _sql(
+        ["display"],
+        """select "sensor_ID", at_ as "at", flood_status from (
+          select *, lag(flood_status) over w as told, lag(at_) over w as told_at from (
+            select "sensor_ID", date as at_, current as flood_status, 0 as step from samples
+            union all
+            select "sensor_ID", due, silent, 1 from (select *, date + interval 41 minute as due from samples) s
+              where (nxt is null or due < nxt) and time_bucket(interval 1 minute, due) + interval 1 minute <= wm
+            union all
+            select "sensor_ID", due, 'UNKNOWN', 2 from (select *, date + interval 180 minute as due from samples) s
+              where (nxt is null or due < nxt) and time_bucket(interval 1 minute, due) + interval 1 minute <= wm) e
+          window w as (partition by "sensor_ID" order by at_, step)) c
+        where told_at is null or flood_status is distinct from told""",
+    ).replace(" select \"sensor_ID\", at_ as", """, facts as (
+      select "sensor_ID", date, date_trunc('minute', date) as minute,
+        case when a is null or r is null then null when r then 'FLOODING' when a then 'WARNING'
+          else 'NOT FLOODING' end as current,
+        case when not a then 'UNKNOWN' when a is null or r is null then null else 'FLOODING' end as silent
+      from (select *, sensor_water_level_adj >= alert_threshold as a,
+              sensor_water_level_adj >= road_elevation as r from display) d),
+    mark as (select max(date) - interval 10 minute as wm from facts),
+    samples as (select *, lead(date) over (partition by "sensor_ID" order by date) as nxt from (
+      select * from facts, mark where minute + interval 1 minute <= wm
+      qualify row_number() over (partition by "sensor_ID", minute
+        order by date desc, current desc nulls last, silent desc nulls last) = 1) f)
+    select "sensor_ID", at_ as""", 1),
 }

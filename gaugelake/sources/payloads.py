@@ -23,12 +23,18 @@ def _tide_points(payloads: DataFrame, kind: str) -> DataFrame:
     return payloads.where(F.col("type") == kind).withColumn("points", answer[field])
 
 
+def _each(answers: DataFrame, points) -> DataFrame:
+    """One row per list entry. From a plain ``explode`` Spark would infer a filter on the
+    list's size and push it down, which parses every document a second time."""
+    rows = answers.select("id", F.explode_outer(points).alias("point"))
+    return rows.where(F.col("point").isNotNull())
+
+
 def tide_rows(payloads: DataFrame, kind: str) -> DataFrame:
     """Observed (``obs``) or predicted (``pred``) tide levels."""
     _, entity, note = TIDE_KINDS[kind]
     return (
-        _tide_points(payloads, kind)
-        .select("id", F.explode("points").alias("point"))
+        _each(_tide_points(payloads, kind), F.col("points"))
         .select(
             "id",
             F.try_to_timestamp(F.col("point.t"), F.lit("yyyy-MM-dd HH:mm")).alias("date"),
@@ -49,7 +55,7 @@ def gauge_rows(payloads: DataFrame, entity: str = "FIMAN") -> DataFrame:
     """Readings of the state gauge network's XML answers."""
     answer = F.from_xml("payload", GAUGE_XML)
     return (
-        payloads.select("id", F.explode(answer["response"]["general"]).alias("point"))
+        _each(payloads, answer["response"]["general"])
         .select(
             "id",
             F.try_to_timestamp(F.col("point.data_time"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("date"),

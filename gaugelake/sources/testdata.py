@@ -4,11 +4,18 @@ Every row is a function of one source row and a 25-row name table, so the derive
 grow with their sources and no distinct pass over the events is needed.
 """
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.sources.warehouse import Warehouse
-
+# Source columns in use. Stated schemas spare a look into the files at every start.
+NATION = "n_nationkey INT, n_name STRING"
+SUPPLIER = "s_suppkey BIGINT"
+CUSTOMER = "c_custkey BIGINT"
+LINEITEM = (
+    "l_orderkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_linestatus STRING"
+)
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 ORDERS = (
     "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
@@ -26,9 +33,8 @@ def _camera_id(s: str) -> str:
     return f"concat('CAM_', {_sensor_id(f'({s} % 50)')}, {tail})"
 
 
-def _open(spark: SparkSession, sf_dir: str, table: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{sf_dir}/{table}.parquet")
+def _open(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def events_as_readings(events: DataFrame, names: DataFrame) -> DataFrame:
@@ -124,19 +130,49 @@ def _photos(events: DataFrame) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str) -> Warehouse:
+class DerivedTables:
+    """The fields of ``Warehouse``, each built on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._open = lambda table, schema: _open(spark, sf_dir, table, schema)
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        return self._open("events", EVENTS)
+
+    @cached_property
+    def _names(self) -> DataFrame:
+        return self._open("nation", NATION)
+
+    @cached_property
+    def readings(self) -> DataFrame:
+        return events_as_readings(self._events, self._names)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return _raw(self._events, self._names)
+
+    @cached_property
+    def surveys(self) -> DataFrame:
+        return _surveys(self._open("orders", ORDERS))
+
+    @cached_property
+    def provider(self) -> DataFrame:
+        return _provider(self._open("lineitem", LINEITEM))
+
+    @cached_property
+    def cameras(self) -> DataFrame:
+        return _cameras(self._open("supplier", SUPPLIER), self._names)
+
+    @cached_property
+    def photos(self) -> DataFrame:
+        return _photos(self._events)
+
+
+def load(spark: SparkSession, sf_dir: str) -> DerivedTables:
     """The six tables at one scale. Sets the session zone to UTC, which all times assume."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = _open(spark, sf_dir, "events", EVENTS)
-    names = _open(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return Warehouse(
-        readings=events_as_readings(events, names),
-        raw=_raw(events, names),
-        surveys=_surveys(_open(spark, sf_dir, "orders", ORDERS)),
-        provider=_provider(_open(spark, sf_dir, "lineitem")),
-        cameras=_cameras(_open(spark, sf_dir, "supplier"), names),
-        photos=_photos(events),
-    )
+    return DerivedTables(spark, sf_dir)
 
 
 def tide_payloads(provider: DataFrame) -> DataFrame:
@@ -168,7 +204,7 @@ def gauge_payloads(provider: DataFrame) -> DataFrame:
 
 def gauge_key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge-key lines from the suppliers; every tenth line is empty."""
-    return _open(spark, sf_dir, "supplier").selectExpr(
+    return _open(spark, sf_dir, "supplier", SUPPLIER).selectExpr(
         "CASE WHEN s_suppkey % 10 = 9 THEN ',,,,,,' ELSE concat("
         "'\"Place ', s_suppkey, ', North Carolina\",Gauge @ ', s_suppkey, ',',"
         " CASE WHEN s_suppkey % 4 = 3 THEN 'OCAN' ELSE '' END, s_suppkey % 10, ',', s_suppkey, ',',"
@@ -192,7 +228,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sensor = f"concat('sensor_ID=', {_sensor_id('(c_custkey % 50)')})"
     place = "concat('location=NATION%5F', c_custkey % 25)"
-    return _open(spark, sf_dir, "customer").selectExpr(
+    return _open(spark, sf_dir, "customer", CUSTOMER).selectExpr(
         "c_custkey AS link_id",
         "concat('https://example.com/', CASE c_custkey % 6"
         f" WHEN 0 THEN '' WHEN 1 THEN concat('?', {sensor}) WHEN 2 THEN concat('?', {place})"

@@ -1,8 +1,12 @@
 """Flood-status changes as they happen, also those caused by silence.
 
 A status can change without any new row: 41 minutes after the last reading the sensor
-counts as silent and after 180 minutes as down. Event-time timers raise these changes once
-the watermark has passed them.
+counts as silent and after 180 minutes as down. Event-time timers raise these changes.
+
+The stream first keeps each sensor's newest reading per minute. This is an ordinary windowed
+aggregation, which shrinks before its shuffle, so a sensor that sends a large part of all
+rows reaches the stateful step as one row per minute like every other. Windows close at the
+watermark, hence the changes do not depend on how rows fall into batches.
 """
 
 from typing import Iterator
@@ -16,13 +20,17 @@ from gaugelake.operators.status import above_alert, above_road, current_status,
 from gaugelake.schemas import CURRENT_MINUTES, DOWN_MINUTES
 
 OUTPUT = "sensor_ID STRING, at_us BIGINT, flood_status STRING"
-STATE = "last_us BIGINT, current STRING, silent STRING, told STRING"
+STATE = "last_us BIGINT, silent STRING, told STRING"
 MINUTE_US = 60_000_000
-UNTOLD = "?"  # no status has been reported yet; NULL is a status of its own
+UNTOLD = "?"  # nothing has been reported yet; a missing status is a status of its own
+
+
+def _text(value):
+    return None if pd.isna(value) else value
 
 
 class _StatusChanges(StatefulProcessor):
-    """Keeps the newest reading's instant, its two possible statuses and the reported one."""
+    """Holds the newest sample's instant and silent status, and the status last reported."""
 
     def __init__(self, current_min: int, down_min: int):
         self.silent_us = (current_min + 1) * MINUTE_US
@@ -30,77 +38,110 @@ class _StatusChanges(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("newest", STATE)
-
-    def _report(self, key, at_us, status, told):
-        if status == told:
-            return
-        yield pd.DataFrame(
-            {"sensor_ID": [key[0]], "at_us": [at_us], "flood_status": pd.Series([status], dtype=object)}
-        )
+        self.newest = handle.getValueState("newest", STATE)
+
+    def _silences(self, last_us, silent):
+        """When silence after a sample changes the status, and to what."""
+        if self.silent_us < self.down_us:
+            yield last_us + self.silent_us, silent
+        yield last_us + self.down_us, "UNKNOWN"
+
+    def _as_frame(self, key, changes):
+        if changes:
+            at, statuses = zip(*changes)
+            yield pd.DataFrame(
+                {
+                    "sensor_ID": key[0],
+                    "at_us": list(at),
+                    "flood_status": pd.Series(list(statuses), dtype=object),
+                }
+            )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Chunks of any size pass through; only the newest row is held. Ties are settled by
-        # the statuses' text so that replays agree.
-        best = None
-        for chunk in rows:
-            newest = chunk[chunk["at_us"] == chunk["at_us"].max()]
-            for at, current, silent in zip(newest["at_us"], newest["current"], newest["silent"]):
-                current = None if pd.isna(current) else current
-                silent = None if pd.isna(silent) else silent
-                rank = (int(at), current or "", silent or "")
-                if best is None or rank > best[0]:
-                    best = (rank, current, silent)
-        last_us, told = None, UNTOLD
-        if self.state.exists():
-            last_us, _, _, told = self.state.get()
-        if best is None or (last_us is not None and best[0][0] <= last_us):
-            return
-        (at_us, _, _), current, silent = best
+        samples = pd.concat(list(rows)).sort_values("at_us")  # one row per minute at most
+        last_us, silent, told = self.newest.get() if self.newest.exists() else (None, None, UNTOLD)
+        changes = []
+
+        def tell(at_us, status, told):
+            if status != told:
+                changes.append((at_us, status))
+            return status
+
+        for at_us, current, next_silent in zip(samples["at_us"], samples["current"], samples["silent"]):
+            if last_us is not None:
+                for due_us, status in self._silences(last_us, silent):
+                    if due_us < at_us:
+                        told = tell(due_us, status, told)
+            told = tell(int(at_us), _text(current), told)
+            last_us, silent = int(at_us), _text(next_silent)
+        self.newest.update((last_us, silent, told))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.update((at_us, current, silent, current))
-        for due in (at_us + self.silent_us, at_us + self.down_us):
-            self.handle.registerTimer(-(-due // 1000))
-        yield from self._report(key, at_us, current, told)
+        for due_us, _ in self._silences(last_us, silent):
+            # The end of the minute: by then every sample before the due moment has come.
+            self.handle.registerTimer((due_us // MINUTE_US + 1) * (MINUTE_US // 1000))
+        yield from self._as_frame(key, changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+        if not self.newest.exists():
             return
-        last_us, current, silent, told = self.state.get()
-        due_ms = expiredTimerInfo.getExpiryTimeInMs()
-        down = due_ms * 1000 >= last_us + self.down_us
-        status = "UNKNOWN" if down else silent
-        at_us = last_us + (self.down_us if down else self.silent_us)
-        self.state.update((last_us, current, silent, status))
-        yield from self._report(key, at_us, status, told)
+        last_us, silent, told = self.newest.get()
+        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        changes = []
+        for due_us, status in self._silences(last_us, silent):
+            if now_us - MINUTE_US <= due_us < now_us and status != told:
+                changes.append((due_us, status))
+                told = status
+        self.newest.update((last_us, silent, told))
+        yield from self._as_frame(key, changes)
 
     def close(self) -> None:
         pass
 
 
-def status_changes(
-    readings: DataFrame,
-    late_by: str = "10 minutes",
-    current_min: int = CURRENT_MINUTES,
-    down_min: int = DOWN_MINUTES,
-) -> DataFrame:
-    """Stream of ``sensor_ID, at, flood_status``, one row per observed change.
+def minute_samples(readings: DataFrame, late_by: str) -> DataFrame:
+    """Each sensor's newest reading per minute with the statuses it can lead to.
 
-    Within one batch only a sensor's newest reading counts, as on a display that is redrawn
-    per batch. Readings behind the watermark are dropped. Needs the RocksDB state store.
+    Of readings tied within a minute the one with the larger status texts counts.
     """
     facts = readings.withWatermark("date", late_by).select(
         "sensor_ID",
         "date",
-        F.unix_micros("date").alias("at_us"),
         current_status(above_alert(), above_road()).alias("current"),
         silent_status(above_alert(), above_road()).alias("silent"),
     )
-    changes = facts.groupBy("sensor_ID").transformWithStateInPandas(
-        statefulProcessor=_StatusChanges(current_min, down_min),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
+    newest = F.max(F.struct("date", "current", "silent")).alias("newest")
+    return (
+        facts.groupBy(F.window("date", "1 minute"), "sensor_ID")
+        .agg(newest)
+        .select(
+            "sensor_ID",
+            F.window_time("window").alias("minute"),
+            F.unix_micros("newest.date").alias("at_us"),
+            "newest.current",
+            "newest.silent",
+        )
+    )
+
+
+def status_changes(
+    readings: DataFrame,
+    late_by: str = "10 minutes",
+    current_min: int = CURRENT_MINUTES,
+    down_min: int = DOWN_MINUTES,
+) -> DataFrame:
+    """Stream of ``sensor_ID, at, flood_status``, one row per change up to the watermark.
+
+    Readings behind the watermark are dropped. Needs the RocksDB state store.
+    """
+    changes = (
+        minute_samples(readings, late_by)
+        .groupBy("sensor_ID")
+        .transformWithStateInPandas(
+            statefulProcessor=_StatusChanges(current_min, down_min),
+            outputStructType=OUTPUT,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
     return changes.select("sensor_ID", F.timestamp_micros("at_us").alias("at"), "flood_status")
