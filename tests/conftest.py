@@ -1,0 +1,51 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from gaugelake.session import build_session  # noqa: E402
+
+DATA = "/root/testdata"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session(
+        "tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.ui.enabled": "false",
+            "spark.driver.memory": "8g",
+        },
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    return session
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """Build a table from a schema and partial rows; instants are written as text."""
+
+    def build(schema, rows):
+        fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+        plain = ", ".join(f"{n} {'STRING' if t == 'TIMESTAMP' else t}" for n, t in fields)
+        data = [tuple(row.get(n) for n, _ in fields) for row in rows]
+        df = spark.createDataFrame(data, plain)
+        return df.selectExpr(
+            *(f"CAST({n} AS TIMESTAMP) AS {n}" if t == "TIMESTAMP" else n for n, t in fields)
+        )
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def value(spark):
+    """Evaluate one column expression."""
+
+    def evaluate(column):
+        return spark.range(1).select(column.alias("v")).first()["v"]
+
+    return evaluate
