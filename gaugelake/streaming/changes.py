@@ -9,9 +9,11 @@ rows reaches the stateful step as one row per minute like every other. Windows c
 watermark, hence the changes do not depend on how rows fall into batches.
 """
 
+import sys
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,8 +21,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gaugelake.operators.status import above_alert, above_road, current_status, silent_status
 from gaugelake.schemas import CURRENT_MINUTES, DOWN_MINUTES
 
+# Ship the processor itself, so that executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = "sensor_ID STRING, at_us BIGINT, flood_status STRING"
-STATE = "last_us BIGINT, silent STRING, told STRING"
+STATE = "last_us BIGINT, silent STRING, told STRING, told_us BIGINT"
 MINUTE_US = 60_000_000
 UNTOLD = "?"  # nothing has been reported yet; a missing status is a status of its own
 
@@ -30,7 +35,8 @@ def _text(value):
 
 
 class _StatusChanges(StatefulProcessor):
-    """Holds the newest sample's instant and silent status, and the status last reported."""
+    """Holds the newest sample's instant and silent status, the status last reported and the
+    moment up to which changes have been considered."""
 
     def __init__(self, current_min: int, down_min: int):
         self.silent_us = (current_min + 1) * MINUTE_US
@@ -46,6 +52,14 @@ class _StatusChanges(StatefulProcessor):
             yield last_us + self.silent_us, silent
         yield last_us + self.down_us, "UNKNOWN"
 
+    def _tell(self, events, told, changes):
+        """Append the events that change the status; returns the status after them."""
+        for at_us, status in events:
+            if status != told:
+                changes.append((at_us, status))
+            told = status
+        return told
+
     def _as_frame(self, key, changes):
         if changes:
             at, statuses = zip(*changes)
@@ -59,22 +73,18 @@ class _StatusChanges(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         samples = pd.concat(list(rows)).sort_values("at_us")  # one row per minute at most
-        last_us, silent, told = self.newest.get() if self.newest.exists() else (None, None, UNTOLD)
+        last_us, silent, told, told_us = (
+            self.newest.get() if self.newest.exists() else (None, None, UNTOLD, None)
+        )
         changes = []
-
-        def tell(at_us, status, told):
-            if status != told:
-                changes.append((at_us, status))
-            return status
-
         for at_us, current, next_silent in zip(samples["at_us"], samples["current"], samples["silent"]):
+            at_us, events = int(at_us), []
             if last_us is not None:
-                for due_us, status in self._silences(last_us, silent):
-                    if due_us < at_us:
-                        told = tell(due_us, status, told)
-            told = tell(int(at_us), _text(current), told)
-            last_us, silent = int(at_us), _text(next_silent)
-        self.newest.update((last_us, silent, told))
+                events = [e for e in self._silences(last_us, silent) if told_us < e[0] < at_us]
+            events.append((at_us, _text(current)))
+            told = self._tell(events, told, changes)
+            last_us, silent, told_us = at_us, _text(next_silent), at_us
+        self.newest.update((last_us, silent, told, told_us))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for due_us, _ in self._silences(last_us, silent):
@@ -85,14 +95,12 @@ class _StatusChanges(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.newest.exists():
             return
-        last_us, silent, told = self.newest.get()
+        last_us, silent, told, told_us = self.newest.get()
         now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        events = [e for e in self._silences(last_us, silent) if told_us < e[0] < now_us]
         changes = []
-        for due_us, status in self._silences(last_us, silent):
-            if now_us - MINUTE_US <= due_us < now_us and status != told:
-                changes.append((due_us, status))
-                told = status
-        self.newest.update((last_us, silent, told))
+        told = self._tell(events, told, changes)
+        self.newest.update((last_us, silent, told, max([told_us, *(due for due, _ in events)])))
         yield from self._as_frame(key, changes)
 
     def close(self) -> None:

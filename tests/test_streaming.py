@@ -1,0 +1,109 @@
+"""Streams end in the state that a batch over the same rows gives."""
+
+import os
+import time
+
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from gaugelake.operators import latest, status, timeline
+from gaugelake.schemas import READINGS
+from gaugelake.sources import testdata
+from gaugelake.streaming import changes, snapshot
+
+
+@pytest.fixture(scope="module")
+def readings(spark):
+    return testdata.load(spark, f"{DATA}/sf0.001").readings.cache()
+
+
+@pytest.fixture
+def files(readings, tmp_path):
+    """The readings in five files, the oldest first."""
+    cuts = ["2024-01-01", "2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25", "2024-02-01"]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for number, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        part = readings.where((F.col("date") >= lo) & (F.col("date") < hi)).coalesce(1)
+        part.write.parquet(str(tmp_path / f"part{number}"))
+        source = next(p for p in (tmp_path / f"part{number}").iterdir() if p.name.endswith(".parquet"))
+        target = folder / f"{number}.parquet"
+        target.write_bytes(source.read_bytes())
+        os.utime(target, (time.time() - 100 + number, time.time() - 100 + number))
+    return folder
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def newest(df):
+    return sorted((r["sensor_ID"], str(r["date"])) for r in df.collect())
+
+
+def test_snapshot_equals_batch_and_ignores_repeats(spark, readings, files, tmp_path):
+    out, check = str(tmp_path / "snap"), str(tmp_path / "check")
+    assert snapshot.read_snapshot(spark, out, readings.schema).count() == 0
+
+    def drain():
+        stream = stream_of(spark, files)
+        snapshot.maintain_snapshot(stream, out, check, availableNow=True).awaitTermination()
+        return newest(snapshot.read_snapshot(spark, out, readings.schema))
+
+    expected = sorted(set(newest(latest.newest_rows(readings, ["sensor_ID"], "date"))))
+    assert drain() == expected
+    (files / "again.parquet").write_bytes((files / "0.parquet").read_bytes())  # a late repeat
+    assert drain() == expected
+    now = "2024-01-30 23:59:00"
+    streamed = status.judge(snapshot.read_snapshot(spark, out, readings.schema), now)
+    direct = status.judged_sensors(readings, now)
+    columns = ["sensor_ID", "flood_status"]
+    assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, direct.select(columns).collect()))
+
+
+def drained_changes(spark, source, out, check):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    found = changes.status_changes(source)
+    sink = found.writeStream.format("parquet").option("checkpointLocation", check)
+    sink.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def test_changes_do_not_depend_on_batches_and_agree_with_the_timeline(spark, readings, files, tmp_path):
+    many = drained_changes(spark, stream_of(spark, files), str(tmp_path / "a"), str(tmp_path / "ca"))
+    single = tmp_path / "single"
+    readings.coalesce(1).write.parquet(str(single))
+    one = drained_changes(
+        spark, spark.readStream.schema(READINGS).parquet(str(single)), str(tmp_path / "b"), str(tmp_path / "cb")
+    )
+    rows = sorted(map(repr, many.collect()))
+    assert rows == sorted(map(repr, one.collect()))
+    assert len(rows) > 100
+
+    # Up to the watermark the last reported status is the one the timeline gives.
+    at = "2024-01-28 00:00:00"
+    last = (
+        many.where(F.col("at") <= F.lit(at).cast("timestamp"))
+        .groupBy("sensor_ID")
+        .agg(F.max_by(F.struct("flood_status"), "at").alias("s"))
+        .select("sensor_ID", "s.flood_status")
+    )
+    batch = timeline.status_at(timeline.status_timeline(readings), at)
+    assert sorted(map(repr, last.collect())) == sorted(map(repr, batch.collect()))
+
+
+def test_silence_is_reported_without_new_rows(spark, frame, tmp_path):
+    rows = [
+        dict(sensor_ID="A", date="2024-01-01 00:00:30", sensor_water_level_adj=1.5, alert_threshold=1.0, road_elevation=2.0),
+        dict(sensor_ID="B", date="2024-01-01 05:00:00", sensor_water_level_adj=0.0, alert_threshold=1.0, road_elevation=2.0),
+    ]
+    frame(READINGS, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(READINGS).parquet(str(tmp_path / "in"))
+    got = drained_changes(spark, source, str(tmp_path / "out"), str(tmp_path / "check")).orderBy("at").collect()
+    assert [(r["sensor_ID"], str(r["at"])[11:], r["flood_status"]) for r in got] == [
+        ("A", "00:00:30", "WARNING"), ("A", "00:41:30", "FLOODING"), ("A", "03:00:30", "UNKNOWN"),
+    ]
