@@ -38,9 +38,15 @@ def overlay_meta(newest_surveys: DataFrame) -> DataFrame:
     )
 
 
+def _days(start, end) -> tuple[Column, Column]:
+    """The two days of a range in order, whichever way round they were given."""
+    return F.least(day(start), day(end)), F.greatest(day(start), day(end))
+
+
 def provider_observations(provider: DataFrame, start, end) -> DataFrame:
     """Water levels of the stored providers, ``start`` to ``end`` midnight inclusive (UTC)."""
-    inside = F.col("date").between(utc_midnight(start), utc_midnight(end))
+    first, last = _days(start, end)
+    inside = F.col("date").between(utc_midnight(first), utc_midnight(last))
     return (
         water_levels(provider)
         .where(inside)
@@ -56,9 +62,9 @@ def provider_observations(provider: DataFrame, start, end) -> DataFrame:
 
 def tide_levels(payloads: DataFrame, kind: str, start, end) -> DataFrame:
     """Tide-service rows of whole days; the service's last day is inclusive."""
-    date = F.col("date")
-    after = utc_midnight(F.date_add(day(end), 1))
-    return tide_rows(payloads, kind).where((date >= utc_midnight(start)) & (date < after))
+    first, last = _days(start, end)
+    date, after = F.col("date"), utc_midnight(F.date_add(last, 1))
+    return tide_rows(payloads, kind).where((date >= utc_midnight(first)) & (date < after))
 
 
 def dispatched(

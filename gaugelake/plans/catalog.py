@@ -28,7 +28,8 @@ from gaugelake.sources.warehouse import Warehouse, water_levels
 from gaugelake.streaming import changes, snapshot
 
 AS_OF = "2024-01-30 23:59:00"
-START, END = "2024-01-10", "2024-01-25"
+# The longest range that may be charted with overlays; it spans the tables.
+START, END = "2024-01-01", "2024-01-31"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -5,9 +5,9 @@ later ones build on. A query lists the fragments it needs and its final SELECT.
 """
 
 AS_OF = "timestamp '2024-01-30 23:59:00'"
-START, END = "timestamp '2024-01-10'", "timestamp '2024-01-25'"
+START, END = "timestamp '2024-01-01'", "timestamp '2024-01-31'"
 # Local midnight of a January day is 05:00 UTC.
-LO, HI = "timestamp '2024-01-10 05:00:00'", "timestamp '2024-01-25 05:00:00'"
+LO, HI = "timestamp '2024-01-01 05:00:00'", "timestamp '2024-01-31 05:00:00'"
 
 
 def _sensor(k):
@@ -524,7 +524,7 @@ ORACLE = {
           round(road_elevation, 2) as "road elev. (ft NAVD88)",
           round(sensor_water_level_adj, 2) as "water level (ft NAVD88)",
           round(road_water_level_adj, 2) as "water level (ft above or below road elev.)",
-          "sensor_ID" || '_20240110_20240125.csv' as file from series""",
+          "sensor_ID" || '_20240101_20240131.csv' as file from series""",
     ),
     "q_thirdparty_obs": _sql(["stored"], "select * from stored"),
     "q_thirdparty_union": _sql(

@@ -6,7 +6,6 @@ largest other columns. Each batch writes a new version of the snapshot and never
 old one: a batch that is replayed after a failure writes its own version again.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,26 +24,17 @@ def newest_per_sensor(readings: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, folder: str, schema: StructType) -> DataFrame | None:
-    """All written versions with their number, None before the first."""
+def _newest_version(spark: SparkSession, folder: str, schema: StructType, below: int) -> DataFrame:
+    """The rows of the newest version numbered below a bound."""
     numbered = StructType([*schema.fields, StructField("batch", LongType())])
-    try:
-        return spark.read.schema(numbered).parquet(folder)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _newest_version(versions: DataFrame) -> DataFrame:
+    versions = spark.read.schema(numbered).parquet(folder).where(F.col("batch") < below)
     newest = versions.agg(F.max("batch")).first()[0]
-    return versions.where(F.col("batch") == F.lit(newest)).drop("batch")
+    return versions.where(F.col("batch") == F.lit(newest).cast("long")).drop("batch")
 
 
 def read_snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """The newest version; empty before the first batch."""
-    versions = _versions(spark, folder, schema)
-    return spark.createDataFrame([], schema) if versions is None else _newest_version(versions)
+    return _newest_version(spark, folder, schema, below=2**62)
 
 
 def maintain_snapshot(
@@ -52,13 +42,12 @@ def maintain_snapshot(
 ) -> StreamingQuery:
     """Start the stream. ``trigger`` is that of ``DataStreamWriter.trigger``."""
     schema = readings.schema
+    empty = readings.sparkSession.createDataFrame([], schema)
+    empty.write.mode("ignore").parquet(f"{folder}/batch=-1")  # a first version to build on
 
     def upsert(changed: DataFrame, batch: int) -> None:
-        merged = changed
-        versions = _versions(changed.sparkSession, folder, schema)
-        if versions is not None:
-            kept = _newest_version(versions.where(F.col("batch") < batch))
-            merged = newest_per_sensor(kept.unionByName(changed))
+        kept = _newest_version(changed.sparkSession, folder, schema, below=batch)
+        merged = newest_per_sensor(kept.unionByName(changed))
         merged.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
     return (

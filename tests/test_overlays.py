@@ -35,8 +35,9 @@ def provider_rows():
     return rows
 
 
-def test_stored_rows_use_a_closed_range(frame):
-    got = overlays.provider_observations(frame(schemas.PROVIDER, provider_rows()), "2024-01-10", "2024-01-12")
+@pytest.mark.parametrize("days", [("2024-01-10", "2024-01-12"), ("2024-01-12", "2024-01-10")])
+def test_stored_rows_use_a_closed_range(frame, days):
+    got = overlays.provider_observations(frame(schemas.PROVIDER, provider_rows()), *days)
     assert sorted((r["id"], str(r["date"]), r["level"], r["notes"]) for r in got.collect()) == [
         ("1", "2024-01-10 00:00:00", 3.0, "observation"),
         ("1", "2024-01-12 00:00:00", 3.0, "observation"),

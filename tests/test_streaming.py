@@ -38,14 +38,20 @@ def stream_of(spark, folder):
     return spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
+def test_snapshot_before_any_row(spark, tmp_path):
+    spark.createDataFrame([], READINGS).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "snap")
+    stream = spark.readStream.schema(READINGS).parquet(str(tmp_path / "in"))
+    snapshot.maintain_snapshot(stream, out, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    assert snapshot.read_snapshot(spark, out, stream.schema).count() == 0
+
+
 def newest(df):
     return sorted((r["sensor_ID"], str(r["date"])) for r in df.collect())
 
 
 def test_snapshot_equals_batch_and_ignores_repeats(spark, readings, files, tmp_path):
     out, check = str(tmp_path / "snap"), str(tmp_path / "check")
-    assert snapshot.read_snapshot(spark, out, readings.schema).count() == 0
-
     def drain():
         stream = stream_of(spark, files)
         snapshot.maintain_snapshot(stream, out, check, availableNow=True).awaitTermination()
