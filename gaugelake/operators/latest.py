@@ -10,7 +10,7 @@ into the second scan as a plain filter, which skips the row groups of older file
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gaugelake.functions.clock import instant
@@ -78,12 +78,19 @@ def sample_interval(top: DataFrame) -> DataFrame:
     )
 
 
-def latest_sensors(readings: DataFrame, as_of, lookback_days: int) -> DataFrame:
-    """Each sensor's newest readings within the lookback that carry coordinates."""
+def _since(as_of, lookback_days: int) -> Column:
     today = instant(as_of).cast("date")
-    recent = readings.where(F.col("date") > F.date_sub(today, lookback_days).cast("timestamp"))
-    newest = newest_rows(recent, ["sensor_ID"], "date")
-    return newest.where("lat IS NOT NULL AND lng IS NOT NULL").withColumns(
+    return F.col("date") > F.date_sub(today, lookback_days).cast("timestamp")
+
+
+def recent_sensors(newest: DataFrame, as_of, lookback_days: int) -> DataFrame:
+    """Map rows from the newest readings of all time.
+
+    A sensor with a reading inside the lookback has its newest one there, so nothing has to
+    be searched again when the newest readings are already at hand.
+    """
+    placed = newest.where(_since(as_of, lookback_days) & F.expr("lat IS NOT NULL AND lng IS NOT NULL"))
+    return placed.withColumns(
         {
             "sensor_water_level": F.col("sensor_water_level_adj"),
             "road_water_level": F.col("road_water_level_adj"),
@@ -91,6 +98,15 @@ def latest_sensors(readings: DataFrame, as_of, lookback_days: int) -> DataFrame:
     )
 
 
+def latest_sensors(readings: DataFrame, as_of, lookback_days: int) -> DataFrame:
+    """Each sensor's newest readings within the lookback that carry coordinates.
+
+    Only the lookback is scanned.
+    """
+    newest = newest_rows(readings.where(_since(as_of, lookback_days)), ["sensor_ID"], "date")
+    return recent_sensors(newest, as_of, lookback_days)
+
+
 def latest_surveys(surveys: DataFrame) -> DataFrame:
     return newest_rows(surveys, ["sensor_ID"], "date_surveyed")
 

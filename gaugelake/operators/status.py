@@ -100,11 +100,12 @@ def judged_sensors(
     return judge(newest_rows(facts, ["sensor_ID"], "date"), as_of, current_min, down_min)
 
 
+STATUS_COLUMNS = ["sensor_ID", "time_since_measurement", "time_since_measurement_text", "flood_status"]
+
+
 def flood_status(readings: DataFrame, as_of, **limits) -> DataFrame:
     """Flood status per sensor at ``as_of``; a sensor with tied newest rows has several."""
-    return judged_sensors(readings, as_of, **limits).select(
-        "sensor_ID", "time_since_measurement", "time_since_measurement_text", "flood_status"
-    )
+    return judged_sensors(readings, as_of, **limits).select(*STATUS_COLUMNS)
 
 
 def _mapped(values: dict[str, str], key: Column) -> Column:

@@ -50,8 +50,13 @@ def session_query(build: Query) -> Query:
 # Shared inputs. Per-sensor tables are settled where several parts of a query use them.
 
 
-def _sensors(w: Warehouse) -> DataFrame:
-    return settle(latest.latest_sensors(w.readings, AS_OF, LOOKBACK_DAYS), "sensors")
+def _newest(w: Warehouse) -> DataFrame:
+    """The newest readings of all time: map rows and status both follow from them."""
+    return settle(latest.newest_rows(w.readings, ["sensor_ID"], "date"), "newest")
+
+
+def _status(newest: DataFrame) -> DataFrame:
+    return status.judge(newest, AS_OF).select(*status.STATUS_COLUMNS)
 
 
 def _surveys(w: Warehouse) -> DataFrame:
@@ -78,10 +83,14 @@ def _series(w: Warehouse) -> DataFrame:
     return series.sensor_series(w.readings, START, END)
 
 
-def _mapped(w: Warehouse) -> DataFrame:
-    """Labelled map rows of the sensors."""
+def _mapped(w: Warehouse, newest: DataFrame | None = None) -> DataFrame:
+    """Labelled map rows of the sensors, from the newest readings where these are known."""
     labels = latest.sensor_labels(latest.latest_surveys(w.surveys))
-    return places.sensor_map(latest.latest_sensors(w.readings, AS_OF, LOOKBACK_DAYS), labels)
+    if newest is None:
+        sensors = latest.latest_sensors(w.readings, AS_OF, LOOKBACK_DAYS)
+    else:
+        sensors = latest.recent_sensors(newest, AS_OF, LOOKBACK_DAYS)
+    return places.sensor_map(sensors, labels)
 
 
 def _located(w: Warehouse) -> DataFrame:
@@ -103,7 +112,9 @@ def q_status_banner(w):
 
 @query
 def q_missing_interval(w):
-    return status.missing_interval(_sensors(w), status.judged_sensors(w.readings, AS_OF), AS_OF)
+    newest = _newest(w)
+    sensors = latest.recent_sensors(newest, AS_OF, LOOKBACK_DAYS)
+    return status.missing_interval(sensors, status.judge(newest, AS_OF), AS_OF)
 
 
 @query
@@ -163,7 +174,8 @@ def q_latest_raw(w):
 
 @query
 def q_sensor_map(w):
-    joined = _mapped(w).join(status.flood_status(w.readings, AS_OF), "sensor_ID", "left")
+    newest = _newest(w)
+    joined = _mapped(w, newest).join(_status(newest), "sensor_ID", "left")
     colored = status.status_color(joined, grey_when_missing=False)
     return colored.select(
         "sensor_ID",
@@ -425,8 +437,9 @@ def q_intended_join(w):
 
 def _health(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     cameras = health.camera_health(_located(w), AS_OF)
+    newest = _newest(w)
     sensors = health.sensor_health(
-        _mapped(w), status.flood_status(w.readings, AS_OF), latest.latest_raw(w.raw), cameras
+        _mapped(w, newest), _status(newest), latest.latest_raw(w.raw), cameras
     )
     return sensors, cameras
 

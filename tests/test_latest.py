@@ -80,8 +80,11 @@ def test_lookback_bound_is_exclusive_and_coordinates_are_needed(frame):
         dict(sensor_ID="new", date="2024-01-01 00:00:01", lat=1.0, lng=1.0, road_water_level_adj=2.0, road_water_level=7.0),
         dict(sensor_ID="nowhere", date="2024-02-01 00:00:00", lat=None, lng=1.0),
     ]
-    got = latest.latest_sensors(frame(schema, rows), "2024-03-31 08:00:00", 90).collect()
-    assert [(r["sensor_ID"], r["road_water_level"]) for r in got] == [("new", 2.0)]
+    rows.append(dict(sensor_ID="new", date="2023-06-01 00:00:00", lat=1.0, lng=1.0))
+    df, now = frame(schema, rows), "2024-03-31 08:00:00"
+    known = latest.newest_rows(df, ["sensor_ID"], "date")
+    for result in (latest.latest_sensors(df, now, 90), latest.recent_sensors(known, now, 90)):
+        assert [(r["sensor_ID"], r["road_water_level"]) for r in result.collect()] == [("new", 2.0)]
 
 
 def test_empty_input(frame):
