@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from gaugelake.operators.instants import BUCKET_SECONDS, bucket_of
 from gaugelake.schemas import GAP_MS
+from gaugelake.settle import settle
+
+HOT_ROWS = 1_000_000
 
 
 def _breaks(date: Column, blank: Column, prev_date: Column, prev_drawn: Column, gap_ms: int) -> Column:
@@ -102,9 +105,28 @@ def gap_segments(
 
 
 def with_segments(
-    series: DataFrame, gap_ms: int = GAP_MS, seconds: int = BUCKET_SECONDS
+    series: DataFrame,
+    gap_ms: int = GAP_MS,
+    seconds: int = BUCKET_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Every reading with the segment it is drawn in, NULL for blank readings."""
-    numbers = numbered_instants(series, gap_ms, seconds).select("sensor_ID", "date", "segment")
+    """Every reading with the segment it is drawn in, NULL for blank readings.
+
+    Readings meet their instant's number by a join on sensor and instant. Instants with more
+    than ``hot_rows`` readings are split: their number is copied into so many shares that each
+    stays below the bound, and their readings are dealt out over the shares.
+    """
+    shares = F.ceil((F.col("drawn") + F.col("blank")) / F.lit(hot_rows))
+    numbers = numbered_instants(series, gap_ms, seconds).withColumn("shares", shares)
+    numbers = settle(numbers.select("sensor_ID", "date", "segment", "shares"), "instants")
+    keys = ["sensor_ID", "date"]
+    hot = settle(numbers.where("shares > 1").select(*keys, "shares"), "hot")
+    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce("shares", F.lit(1)))
+    rows = series.join(hot, keys, "left").withColumn("share", dealt).drop("shares")
+    copies = numbers.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     drawn = F.when(F.col("wl").isNotNull(), F.col("segment"))
-    return series.join(numbers, ["sensor_ID", "date"]).withColumn("segment", drawn)
+    return (
+        rows.join(copies.drop("shares"), [*keys, "share"])
+        .withColumn("segment", drawn)
+        .select(*series.columns, "segment")
+    )

@@ -55,14 +55,16 @@ def test_equals_a_walk_for_any_bucket(frame, seed, bucket):
     assert runs(frame, points, seconds=bucket) == brute(points)
 
 
-def test_every_drawn_reading_is_in_one_segment(frame):
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_every_drawn_reading_is_in_one_segment(frame, hot_rows):
     rng = random.Random(5)
     points = [(rng.randrange(80000), rng.choice([None, 1.0])) for _ in range(200)]
+    points += [(500, 1.0)] * 40 + [(700, None)] * 5
     df = frame(S, [dict(sensor_ID=s, date=at(t), wl=v) for s in "AB" for t, v in points])
     drawn = sum(v is not None for _, v in points)
     table = segments.gap_segments(df)
     assert sum(r["n"] for r in table.collect()) == 2 * drawn
-    labelled = segments.with_segments(df)
+    labelled = segments.with_segments(df, hot_rows=hot_rows)
     assert labelled.count() == 2 * len(points)
     assert labelled.where("(segment IS NULL) <> (wl IS NULL)").count() == 0
     counted = {(r["sensor_ID"], r["segment"]): r["count"] for r in

@@ -85,6 +85,33 @@ def test_parquet_warehouse_drops_rows_without_time(spark, frame, tmp_path):
     assert "ReadSchema: struct<sensor_ID:string,date:timestamp>" in plan
 
 
+class _Reader:
+    """Stands in for ``spark.read`` and notes how tables are asked for."""
+
+    def __init__(self, frame):
+        self.frame, self.asked = frame, {}
+
+    def jdbc(self, url, table, **how):
+        self.asked[table] = how
+        schema = next(spec.schema for spec in warehouse.TABLES.values() if spec.name == table)
+        return self.frame(schema, [])
+
+
+def test_jdbc_tables_are_read_by_time_ranges(frame):
+    reader = _Reader(frame)
+    session = type("S", (), {"read": reader})()
+    tables = warehouse.from_jdbc(
+        session, "jdbc:x", "2020-01-01", "2024-01-01", tasks=12, properties={"user": "u"}
+    )
+    assert tables.readings.count() == 0
+    assert set(reader.asked) == {spec.name for spec in warehouse.TABLES.values()}
+    assert reader.asked["photo_info"] == dict(
+        column="DateTimeOriginalUTC", lowerBound="2020-01-01", upperBound="2024-01-01",
+        numPartitions=12, properties={"user": "u"},
+    )
+    assert reader.asked["camera_locations"] == dict(properties={"user": "u"})
+
+
 def test_zoneless_instants_become_utc_instants(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 10:00:00' AS date, 'A' AS sensor_ID")
     timed = warehouse._timed(df, warehouse.TABLES["readings"])
