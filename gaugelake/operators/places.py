@@ -104,7 +104,7 @@ def zoom_of(place: Column) -> Column:
 def place_view(sensors: DataFrame, cameras: DataFrame) -> DataFrame:
     """Centre and zoom per place: mean of its sensors, or of its cameras without sensors.
 
-    Places have fixed zooms; a place without any coordinates gets the start view's centre.
+    A place without any coordinates has no centre.
     """
 
     def centre(df: DataFrame, flag: str) -> DataFrame:

@@ -113,28 +113,27 @@ BASE = {
       from events where event_type = 'view'""",
 }
 
-_CHAIN = [
-    ("not a and c and not d and r", "FLOODING"),
-    ("a and not c and not d and not r", "FLOODING"),
-    ("a and not c and not d and r", "FLOODING"),
-    ("a and c and not d and r", "FLOODING"),
-    ("a and c and not d and not r", "WARNING"),
-    ("not a and c and not d and not r", "NOT FLOODING"),
-]
-_STATUS = (
-    "case "
-    + " ".join(f"when ({c}) is null then null when {c} then '{v}'" for c, v in _CHAIN)
-    + " else 'UNKNOWN' end"
-)
+# Status by (above alert, above road) while current and while silent. Pairs not
+# listed, all with an unknown comparison, have no status.
+_TRUTH = """
+  ('current', true, true, 'FLOODING'), ('current', true, false, 'WARNING'),
+  ('current', false, true, 'FLOODING'), ('current', false, false, 'NOT FLOODING'),
+  ('silent', true, true, 'FLOODING'), ('silent', true, false, 'FLOODING'),
+  ('silent', false, true, 'UNKNOWN'), ('silent', false, false, 'UNKNOWN'),
+  ('silent', false, null, 'UNKNOWN')"""
 
 FRAGMENTS = {
     **BASE,
     "judged": f"""
       select "sensor_ID", date, age as time_since_measurement,
-        {_age_text('age')} as time_since_measurement_text, c as is_current, {_STATUS} as flood_status
+        {_age_text('age')} as time_since_measurement_text, age <= 40 as is_current,
+        case when age >= 180 then 'UNKNOWN' else known end as flood_status
       from (select *, sensor_water_level_adj >= alert_threshold as a,
-              sensor_water_level_adj >= road_elevation as r, age <= 40 as c, age >= 180 as d
-            from (select *, {_age('date')} as age from {_newest('display', '"sensor_ID"', 'date')} n) x) y""",
+              sensor_water_level_adj >= road_elevation as r,
+              case when age <= 40 then 'current' else 'silent' end as phase
+            from (select *, {_age('date')} as age from {_newest('display', '"sensor_ID"', 'date')} n) x) y
+      left join (values {_TRUTH}) t(stage, alert, road, known)
+        on stage = phase and alert is not distinct from a and road is not distinct from r""",
     "opened": """
       select d.*, nxt, sensor_water_level_adj >= alert_threshold as a,
         sensor_water_level_adj >= road_elevation as r
