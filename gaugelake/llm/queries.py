@@ -2,19 +2,33 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugelake.llm import simhash
+from gaugelake.llm import mixing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_mixing(spark, sf_dir):
+    rows = mixing.mixed(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return rows.selectExpr(
+        "doc_id",
+        "mix_size as size",
+        "mix_source_size as source_size",
+        "mix_target as target",
+        "mix_size * mix_copies as taken",
+    )
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_simhash": op6_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mixing": mixing.SQL,
+}
