@@ -1,8 +1,9 @@
 """The registered queries of this package and the SQL they are checked against."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugelake.llm import mixing, simhash
+from gaugelake.llm import fingerprints, mixing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -24,9 +25,24 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_fingerprints(spark, sf_dir):
+    rows = fingerprints.fingerprinted(documents(spark, sf_dir, "doc_id", "text"))
+    vec, other, after = F.col("vec"), F.col("edited_vec"), F.col("next_vec")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.written(vec).alias("fingerprint"),
+        fingerprints.written(other).alias("edited_fingerprint"),
+        fingerprints.likeness(vec, other).alias("near_edited"),
+        fingerprints.likeness(vec, after).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op6_simhash": op6_simhash,
+    "op7_fingerprints": op7_fingerprints,
 }
 
 ORACLE: dict[str, str] = {
