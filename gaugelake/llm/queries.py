@@ -1,9 +1,10 @@
 """The registered queries of this package and the SQL they are checked against."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import fingerprints, mixing, simhash
+from gaugelake.llm import bpe, fingerprints, mixing, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op1_mixing(spark, sf_dir):
     )
 
 
+def op3_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return bpe.digests(docs, path, public_tokenizers.PATTERN)
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -41,6 +48,7 @@ def op7_fingerprints(spark, sf_dir):
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
 }
