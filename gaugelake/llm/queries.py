@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, fingerprints, mixing, simhash
+from gaugelake.llm import bpe, fingerprints, mixing, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -46,11 +46,17 @@ def op7_fingerprints(spark, sf_dir):
     )
 
 
+def op9_token_files(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return token_files.written(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE: dict[str, str] = {
