@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, fingerprints, mixing, simhash, token_files
+from gaugelake.llm import bpe, fingerprints, mixing, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_mixing(spark, sf_dir):
     )
 
 
+def op2_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.score(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op3_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = documents(spark, sf_dir, "doc_id", "text")
@@ -53,6 +58,7 @@ def op9_token_files(spark, sf_dir):
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
