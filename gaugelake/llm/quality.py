@@ -111,7 +111,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
                 own = x[labels == label]
                 sums[label] += own.T @ own
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["at", "value"]
+            [pa.array(np.arange(sums.size), pa.int32()), pa.array(sums.ravel())], ["at", "value"]
         )
 
     rows = labelled.where("label in (0, 1)").select("label", "stats").mapInArrow(add, "at int, value double")
