@@ -1,19 +1,54 @@
 """A corpus pipeline in stages; each stage's rows are written as Parquet and read by the next."""
 
-from gaugelake.llm import simhash
+import public_tokenizers
+
+from gaugelake.llm import bpe, mixing, pii, quality, simhash
 from gaugelake.settle import settle
 
 
-def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays."""
+def good(spark, docs, sf_dir):
+    """Documents that the quality classifier, fitted on the labels, accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.keep_good(docs, labels)
+
+
+def distinct(spark, docs, sf_dir):
+    """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+def private(spark, docs, sf_dir):
+    """All documents, personal data replaced by its kind."""
+    return pii.redacted(docs, pii.train(docs))
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents as often as the mix of sources to target weights takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark, docs, sf_dir):
+    """Token ids of each document, with the digests of ids and decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.encoded(docs, path, public_tokenizers.PATTERN)
+    return rows.selectExpr(
+        "doc_id",
+        "cast(length(ids) / 4 as long) as n_tokens",
+        "ids",
+        "sha2(ids, 256) as ids_sha256",
+        "sha2(decoded, 256) as decoded_sha256",
+    )
+
+
 STAGES = [
-    ("simhash near-dedup", near_dedup),
+    ("quality classifier", good),
+    ("SimHash near-dedup", distinct),
+    ("PII", private),
+    ("mixing sources", mixed),
+    ("byte-level BPE", tokens),
 ]
 
-#: Fingerprints by XXH64 can't be expressed in DuckDB's SQL.
+#: Fingerprints by XXH64, the fitted models and BPE can't be expressed in DuckDB's SQL.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, fingerprints, mixing, quality, simhash, token_files
+from gaugelake.llm import bpe, fingerprints, mixing, pii, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_bpe(spark, sf_dir):
     return bpe.digests(docs, path, public_tokenizers.PATTERN)
 
 
+def op4_pii(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
     "op9_token_files": op9_token_files,
