@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, fingerprints, mixing, pii, quality, simhash, token_files
+from gaugelake.llm import bpe, embedding_dedup, fingerprints, mixing, pii, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op7_fingerprints(spark, sf_dir):
     )
 
 
+def op8_embeddings(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embedding_dedup.near_duplicates(vectors.select("vec_id", "embedding"))
+
+
 def op9_token_files(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
     return token_files.written(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
+    "op8_embeddings": op8_embeddings,
     "op9_token_files": op9_token_files,
 }
 
