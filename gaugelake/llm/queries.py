@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, embedding_dedup, fingerprints, mixing, pii, quality, simhash, token_files
+from gaugelake.llm import bpe, embedding_dedup, fingerprints, lm, mixing, pii, quality, simhash, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op9_token_files(spark, sf_dir):
     return token_files.written(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_lm(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return lm.score(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -75,6 +80,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_embeddings": op8_embeddings,
     "op9_token_files": op9_token_files,
+    "op10_lm": op10_lm,
 }
 
 ORACLE: dict[str, str] = {
