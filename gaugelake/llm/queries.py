@@ -4,7 +4,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugelake.llm import bpe, embedding_dedup, fingerprints, lm, mixing, pii, quality, simhash, token_files
+from gaugelake.llm import (
+    bpe,
+    embedding_dedup,
+    fingerprints,
+    lm,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -38,6 +49,13 @@ def op4_pii(spark, sf_dir):
     return pii.find(docs, pii.train(docs))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.deduplicated(documents(spark, sf_dir, "doc_id", "text"))
+    return rows.selectExpr(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) as kept_sha256"
+    )
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -76,6 +94,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_simhash": op6_simhash,
     "op7_fingerprints": op7_fingerprints,
     "op8_embeddings": op8_embeddings,
