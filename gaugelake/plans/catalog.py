@@ -499,12 +499,9 @@ def q_stream_status(spark, sf_dir):
 
 @session_query
 def q_stream_changes(spark, sf_dir):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     out, checkpoint = fresh_path(spark, "changes"), fresh_path(spark, "stream")
-    found = changes.status_changes(_event_stream(spark, sf_dir))
-    sink = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    sink.trigger(availableNow=True).start(out).awaitTermination()
+    with changes.state_store(spark):
+        found = changes.status_changes(_event_stream(spark, sf_dir))
+        sink = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        sink.trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(found.schema).parquet(out)

@@ -221,6 +221,38 @@ FRAGMENTS = {
       left join newest_raw r on s.place is not distinct from r.place
         and s."sensor_ID" is not distinct from r."sensor_ID" and s.voltage is not distinct from r.voltage
       left join cam_health c on c.place = s.place and regexp_replace(c."camera_ID", 'CAM_', '') = s."sensor_ID" """,
+    "facts": """
+      select "sensor_ID", date,
+        case when a is null or r is null then null when r then 'FLOODING' when a then 'WARNING'
+          else 'NOT FLOODING' end as current,
+        case when not a then 'UNKNOWN' when a is null or r is null then null else 'FLOODING' end as silent
+      from (select *, sensor_water_level_adj >= alert_threshold as a,
+              sensor_water_level_adj >= road_elevation as r from display) d""",
+    # All readings of the minutes that the watermark has passed.
+    "closed": """
+      select f.*, wm from facts f, (select max(date) - interval 10 minute as wm from facts) m
+      where date_trunc('minute', date) + interval 1 minute <= wm""",
+    "instants": """
+      select *, lead(date) over (partition by "sensor_ID" order by date) as nxt
+      from (select distinct "sensor_ID", date, wm from closed) c""",
+    "in_force": """
+      select "sensor_ID", date as at_, current as flood_status from closed
+      union
+      select i."sensor_ID", i.date + interval 41 minute, silent
+      from instants i join closed c on c."sensor_ID" = i."sensor_ID" and c.date = i.date
+      where (nxt is null or i.date + interval 41 minute < nxt)
+        and date_trunc('minute', i.date + interval 41 minute) + interval 1 minute <= i.wm
+      union
+      select "sensor_ID", date + interval 180 minute, 'UNKNOWN' from instants
+      where (nxt is null or date + interval 180 minute < nxt)
+        and date_trunc('minute', date + interval 180 minute) + interval 1 minute <= wm""",
+    "statuses_begun": """
+      select f.* from in_force f
+      join (select *, lag(at_) over (partition by "sensor_ID" order by at_) as before_
+            from (select distinct "sensor_ID", at_ from in_force) d) b
+        on b."sensor_ID" = f."sensor_ID" and b.at_ = f.at_
+      where not exists (select 1 from in_force p where p."sensor_ID" = f."sensor_ID"
+        and p.at_ = b.before_ and p.flood_status is not distinct from f.flood_status)""",
     "gauge_key": """
       select 'Place ' || s_suppkey || ', North Carolina' as place, 'Gauge @ ' || s_suppkey as location,
         case when s_suppkey % 4 = 3 then 'OCAN' else '' end || (s_suppkey % 10) as site_id,
@@ -233,6 +265,11 @@ FRAGMENTS = {
 
 # Which fragments a fragment reads.
 NEEDS = {
+    "facts": ["display"],
+    "closed": ["facts"],
+    "instants": ["closed"],
+    "in_force": ["closed", "instants"],
+    "statuses_begun": ["in_force"],
     "judged": ["display"],
     "opened": ["display"],
     "sensors": ["display"],
@@ -604,29 +641,6 @@ ORACLE = {
         ["judged"], 'select "sensor_ID", time_since_measurement, flood_status from judged'
     ),
     "q_stream_changes": _sql(
-        ["display"],
-        """select "sensor_ID", at_ as "at", flood_status from (
-          select *, lag(flood_status) over w as told, lag(at_) over w as told_at from (
-            select "sensor_ID", date as at_, current as flood_status, 0 as step from samples
-            union all
-            select "sensor_ID", due, silent, 1 from (select *, date + interval 41 minute as due from samples) s
-              where (nxt is null or due < nxt) and time_bucket(interval 1 minute, due) + interval 1 minute <= wm
-            union all
-            select "sensor_ID", due, 'UNKNOWN', 2 from (select *, date + interval 180 minute as due from samples) s
-              where (nxt is null or due < nxt) and time_bucket(interval 1 minute, due) + interval 1 minute <= wm) e
-          window w as (partition by "sensor_ID" order by at_, step)) c
-        where told_at is null or flood_status is distinct from told""",
-    ).replace(" select \"sensor_ID\", at_ as", """, facts as (
-      select "sensor_ID", date, date_trunc('minute', date) as minute,
-        case when a is null or r is null then null when r then 'FLOODING' when a then 'WARNING'
-          else 'NOT FLOODING' end as current,
-        case when not a then 'UNKNOWN' when a is null or r is null then null else 'FLOODING' end as silent
-      from (select *, sensor_water_level_adj >= alert_threshold as a,
-              sensor_water_level_adj >= road_elevation as r from display) d),
-    mark as (select max(date) - interval 10 minute as wm from facts),
-    samples as (select *, lead(date) over (partition by "sensor_ID" order by date) as nxt from (
-      select * from facts, mark where minute + interval 1 minute <= wm
-      qualify row_number() over (partition by "sensor_ID", minute
-        order by date desc, current desc nulls last, silent desc nulls last) = 1) f)
-    select "sensor_ID", at_ as""", 1),
+        ["statuses_begun"], 'select "sensor_ID", at_ as "at", flood_status from statuses_begun'
+    ),
 }

@@ -1,7 +1,9 @@
 """Streams end in the state that a batch over the same rows gives."""
 
+import datetime
 import os
 import time
+from random import Random
 
 import pytest
 from conftest import DATA
@@ -69,16 +71,67 @@ def test_snapshot_equals_batch_and_ignores_repeats(spark, readings, files, tmp_p
 
 
 def drained_changes(spark, source, out, check):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    found = changes.status_changes(source)
-    sink = found.writeStream.format("parquet").option("checkpointLocation", check)
-    sink.trigger(availableNow=True).start(out).awaitTermination()
+    with changes.state_store(spark):
+        found = changes.status_changes(source)
+        sink = found.writeStream.format("parquet").option("checkpointLocation", check)
+        sink.trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(found.schema).parquet(out)
 
 
+def test_no_reading_of_a_minute_is_lost(spark, frame, tmp_path):
+    levels = [("10", 0.0), ("20", 2.5), ("30", 0.0), ("40", 0.0), ("50", 0.0), ("50", 1.5)]
+    rows = [
+        dict(sensor_ID="A", date=f"2024-01-01 00:00:{s}", sensor_water_level_adj=v, alert_threshold=1.0, road_elevation=2.0)
+        for s, v in levels
+    ]
+    rows += [dict(rows[0], sensor_ID="B", date="2024-01-01 00:30:00")]
+    frame(READINGS, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(READINGS).parquet(str(tmp_path / "in"))
+    got = drained_changes(spark, source, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = got.where("sensor_ID = 'A'").collect()
+    assert sorted((str(r["at"])[17:], r["flood_status"]) for r in got) == [
+        ("10", "NOT FLOODING"), ("20", "FLOODING"), ("30", "NOT FLOODING"), ("50", "WARNING"),
+    ]
+
+
+def begun(intervals, until):
+    """Starts of each sensor's statuses in merged intervals."""
+    out, ends = set(), {}
+    for r in sorted(intervals, key=lambda r: r["from_ts"]):
+        key = (r["sensor_ID"], r["flood_status"])
+        if ends.get(key) != r["from_ts"]:
+            out.add((r["sensor_ID"], r["from_ts"], r["flood_status"]))
+        ends[key] = r["to_ts"]
+    return {x for x in out if x[1] < until}
+
+
+def test_changes_equal_the_merged_timeline_with_many_readings_a_minute(spark, frame, tmp_path):
+    random = Random(4)
+    rows = []
+    for sensor in "ABC":
+        at = 0
+        while at < 9 * 3600:
+            # Bursts of readings within minutes, ties among them, and silences between.
+            for _ in range(random.randrange(4, 12)):
+                at += random.choice([0, 0, 3, 7, 12])
+                rows.append(dict(
+                    sensor_ID=sensor, date=f"2024-01-01 {at // 3600:02}:{at // 60 % 60:02}:{at % 60:02}",
+                    sensor_water_level_adj=random.choice([0.0, 1.5, 2.5, None]), alert_threshold=1.0, road_elevation=2.0,
+                ))
+            at += random.choice([40, 60, 1800, 2600, 11000])
+    rows.append(dict(rows[0], sensor_ID="Z", date="2024-01-01 12:10:00"))
+    table = frame(READINGS, rows)
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(READINGS).parquet(str(tmp_path / "in"))
+    got = drained_changes(spark, source, str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    until = datetime.datetime(2024, 1, 1, 12)
+    expected = begun(timeline.status_timeline(table).collect(), until)
+    found = [(r["sensor_ID"], r["at"], r["flood_status"]) for r in got]
+    assert len(found) == len(set(found))
+    assert {x for x in found if x[1] < until} == expected
+    assert len(expected) > 100
+
+
 def test_changes_do_not_depend_on_batches_and_agree_with_the_timeline(spark, readings, files, tmp_path):
     many = drained_changes(spark, stream_of(spark, files), str(tmp_path / "a"), str(tmp_path / "ca"))
     single = tmp_path / "single"
