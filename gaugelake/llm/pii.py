@@ -285,10 +285,17 @@ def _reach(size, links, labels):
 
 
 def train(docs: DataFrame, limit: int = TRAINING_DOCS) -> Field:
-    """Learn from a bounded sample of the documents with digits or an @."""
+    """Learn from a bounded sample of the documents with digits or an @.
+
+    The bound on the hash is found without the texts; only the sample's texts reach the driver.
+    """
     rows = docs.where(F.col("text").rlike("[0-9@]"))
-    rows = rows.orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), F.md5(F.col("text").cast("binary")))
-    return Field().train(r["text"] for r in rows.select("text").limit(limit).toLocalIterator())
+    rows = rows.select("text", F.xxhash64(F.col("doc_id"), F.lit(7), F.col("text")).alias("h"))
+    lowest = rows.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if lowest is None:
+        return Field()
+    sample = rows.where(F.col("h") <= lowest).dropDuplicates(["h"])
+    return Field().train(r["text"] for r in sorted(sample.collect(), key=lambda r: r["h"]))
 
 
 def written(spans) -> str:
