@@ -9,14 +9,17 @@ may be equal are brought together first, without loss:
 2. Around each gram that several documents hold, the strings it names are cut out as one context
    of at most 80 bytes. Equal contexts are one row with the smallest doc_id; copies cost nothing
    further.
-3. Contexts are dealt to shards by gram. A shard sorts the suffixes of all its contexts by
-   external induced sorting; runs of suffixes whose common prefix is at least 50 are equal
-   strings, and the smallest doc_id of a run is told to all of its contexts.
+3. A gram with a single context has equal strings only, and nothing is left to compare.
+   Contexts of all other grams are dealt to shards by gram. A shard sorts the suffixes of its
+   contexts by external induced sorting; runs of suffixes whose common prefix is at least 50
+   are equal strings, and the smallest doc_id of a run is told to all of its contexts.
 4. The strings with a smaller doc_id go back to their documents as spans.
+
+Up to step 3, a context is known by two 64-bit hashes, of its gram and of its bytes, and by one
+place where it stands; its bytes are read there when a shard needs them.
 """
 
 import gc
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,123 +34,140 @@ LENGTH, GRAM = 50, 20
 #: Grams in a string.
 SPAN = LENGTH - GRAM + 1
 #: Bytes of documents that are hashed at once, and tuples that a shard's queues hold in memory.
-CHUNK, MEMORY = 1 << 19, 1 << 22
+CHUNK, MEMORY = 1 << 16, 1 << 22
 #: Bytes of contexts that a task sorts at once, at most (a gram's contexts stay together).
 SHARD = 4 << 20
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A place is one number: first string, further strings (below 32), and bits of the text's hash.
+SIZE_BITS, TIE_BITS = 5, 24
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each 20-byte gram, by doubling."""
-    h = _TABLE[data]
-    kept = None
+    """A 64-bit polynomial of each 20-byte gram, by doubling."""
+    h, power, four = _TABLE[data], _ODD, None
     for size in (1, 2, 4, 8):
-        h = (h[:-size] * _ODD + np.uint64(size)) ^ (h[size:] >> np.uint64(7)) + h[size:]
+        h = h[:-size] * power + h[size:]
+        with np.errstate(over="ignore"):
+            power = power * power
         if size == 2:
-            kept = h
-    h = h[: len(data) - GRAM + 1] * _ODD + kept[16 : 16 + len(data) - GRAM + 1]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(32)
+            four, of_four = h, power
+    return h[: len(data) - GRAM + 1] * of_four + four[16 : 16 + len(data) - GRAM + 1]
 
 
-def anchors(texts: list[bytes]):
-    """Grams that name strings: number of the text, hash, first and last string, as arrays.
+def anchors(texts: list[bytes], with_contexts: bool):
+    """Grams that name strings: number of the text, hash, first and last string.
 
-    Strings are numbered by the byte they start with.
+    Strings are numbered by the byte they start with. With contexts, also a hash of the bytes
+    from the first string to the end of the last.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < LENGTH:
-        empty = np.empty(0, np.int64)
-        return empty, empty.astype(np.uint64), empty, empty
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     value = gram_hashes(data)
-    place = np.arange(len(value), dtype=np.int32)
-    least, width = value, 1
+    # Order in the high half and place in the low one: the smallest is the leftmost of equals.
+    least = (value * _ODD) >> np.uint64(32) << np.uint64(32)
+    least |= np.arange(len(value), dtype=np.uint64)
+    width = 1
     while width < SPAN:
         step = min(width, SPAN - width)
-        later = least[step:] < least[:-step]
-        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
+        least = np.minimum(least[:-step], least[step:])
         width += step
-    count = len(place)
-    text = np.repeat(np.arange(len(texts)), sizes)[:count]
-    whole = np.arange(count) + LENGTH <= ends[text]
-    new = np.ones(count, bool)
-    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new & whole)
-    last = np.append(np.flatnonzero(new)[1:], count)[np.searchsorted(np.flatnonzero(new), first)] - 1
-    owner = text[first]
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(place[1:] != place[:-1]) + 1
+    first = np.concatenate([[0], new])
+    last = np.concatenate([new, [len(place)]]) - 1
+    place = place[first]
+    # A gram may name strings of two texts, or strings across the end of a text.
+    owner = np.searchsorted(ends, place, "right")
+    begin = (ends - sizes)[owner]
+    first = np.maximum(first, begin)
     last = np.minimum(last, ends[owner] - LENGTH)
-    start = (ends - sizes)[owner]
-    return owner, value[place[first]], first - start, last - start
-
-
-def _anchors(docs: DataFrame, with_place: bool) -> DataFrame:
-    """Documents (k, data) to rows (h, k) or (h, k, span): span holds first and last string."""
-
-    def rows(keys, texts):
-        owner, h, first, last = anchors(texts)
+    kept = np.flatnonzero((first <= last) & (place + GRAM <= ends[owner]))
+    owner, first, last, begin = owner[kept], first[kept], last[kept], begin[kept]
+    found = [owner, _mixed(value[place[kept]]), first - begin, last - begin]
+    if with_contexts:
+        powers = np.full(len(data) + 1, _ODD)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        back = np.full(len(data) + 1, _INVERSE)
+        back[0] = 1
+        np.multiply.accumulate(back, out=back)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * powers[:-1], out=sums[1:])
+        whole = (sums[last + LENGTH] - sums[first]) * back[first]
+        found.append(_mixed(whole + (last - first).astype(np.uint64)))
+    return found
+
+
+def _anchors(docs: DataFrame, with_contexts: bool) -> DataFrame:
+    """Documents (k, tie, data) to rows (h, k), or (h, k, place, x) with the context's hash."""
+
+    def rows(keys, ties, texts):
+        found = anchors(texts, with_contexts)
+        owner, h, first, last = found[:4]
         columns = [pa.array(h.view(np.int64)), pa.array(np.array(keys, np.int64)[owner])]
         names = ["h", "k"]
-        if with_place:
-            columns.append(pa.array(first << 5 | (last - first)))
-            names.append("span")
+        if with_contexts:
+            place = (first << SIZE_BITS | last - first) << TIE_BITS | np.array(ties)[owner]
+            columns += [pa.array(place), pa.array(found[4].view(np.int64))]
+            names += ["place", "x"]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches):
-        keys, texts, size = [], [], 0
+        keys, ties, texts, size = [], [], [], 0
         for batch in batches:
-            for k, data in zip(*batch.columns, strict=True):
+            for k, tie, data in zip(*batch.columns, strict=True):
                 data = data.as_py()
                 if len(data) < LENGTH:
                     continue
                 keys.append(k.as_py())
+                ties.append(tie.as_py())
                 texts.append(data)
                 size += len(data)
                 if size >= CHUNK:
-                    yield rows(keys, texts)
-                    keys, texts, size = [], [], 0
+                    yield rows(keys, ties, texts)
+                    keys, ties, texts, size = [], [], [], 0
         if texts:
-            yield rows(keys, texts)
+            yield rows(keys, ties, texts)
 
-    schema = "h long, k long" + (", span long" if with_place else "")
-    return docs.select("k", "data").mapInArrow(run, schema)
+    schema = "h long, k long" + (", place long, x long" if with_contexts else "")
+    return docs.select("k", "tie", "data").mapInArrow(run, schema)
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """Documents (k, tie, data, spans) to rows (h, x, k, tie, first, context).
-
-    ``x`` hashes the context; its bytes are given once for each batch.
-    """
+    """Documents (tie, data, wanted) to the contexts wanted of them: (h, x, least, context)."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                seen, out = set(), ([], [], [], [], [], [])
-                for k, tie, data, spans in zip(*batch.slice(at, 256).columns, strict=True):
-                    data = data.as_py()
-                    for span in spans.as_py():
-                        first, size = span["span"] >> 5, span["span"] & 31
-                        context = data[first : first + size + LENGTH]
-                        if len(context) < size + LENGTH:
-                            continue
-                        x = int.from_bytes(hashlib.blake2b(context, digest_size=8).digest(), "little", signed=True)
-                        known = (span["h"], x) in seen
-                        seen.add((span["h"], x))
-                        row = (span["h"], x, k.as_py(), tie.as_py(), first, None if known else context)
-                        for column, v in zip(out, row, strict=True):
-                            column.append(v)
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
-                    ["h", "x", "k", "tie", "first", "context"],
-                )
-
-    schema = "h long, x long, k long, tie long, first long, context binary"
-    return found.select("k", "tie", "data", "spans").mapInArrow(run, schema)
+            h, x, least, contexts = [], [], [], []
+            for tie, data, wanted in zip(*batch.columns, strict=True):
+                tie, data = tie.as_py(), data.as_py()
+                for want in wanted.as_py():
+                    place = want["place"]
+                    if place & (1 << TIE_BITS) - 1 != tie:
+                        continue
+                    place >>= TIE_BITS
+                    first, size = place >> SIZE_BITS, place & (1 << SIZE_BITS) - 1
+                    h.append(want["h"])
+                    x.append(want["x"])
+                    least.append(want["k"])
+                    contexts.append(data[first : first + size + LENGTH])
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip((h, x, least, contexts), kinds, strict=True)],
+                ["h", "x", "least", "context"],
+            )
+
+    schema = "h long, x long, least long, context binary"
+    return found.select("tie", "data", "wanted").mapInArrow(run, schema)
 
 
 def sources(contexts: list[bytes], least: np.ndarray, memory: int = MEMORY) -> list[np.ndarray]:
@@ -242,33 +262,39 @@ def with_spans(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"),
         F.coalesce("text", F.lit("")).cast("binary").alias("data"),
     )
+    docs = docs.withColumn("tie", F.xxhash64("data").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
     several = _anchors(docs, False).groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     several = settle(several.where("a < b").select("h"), "grams")
     _release(spark)
-    shared = _anchors(docs, True).join(several, "h").select("h", "k", "span")
-    shared = settle(shared, "anchors")
+    shared = settle(_anchors(docs, True).join(several, "h"), "anchors")
     _release(spark)
-    spans = shared.groupBy(F.col("k").alias("own")).agg(
-        F.collect_list(F.struct("h", "span")).alias("spans")
+    own = F.min(F.struct("k", "place")).alias("own")
+    distinct = settle(shared.groupBy("h", "x").agg(own).select("h", "x", "own.*"), "contexts")
+    counts = distinct.groupBy("h").agg(F.count("*").alias("n"))
+    counted = settle(distinct.join(counts, "h"), "counted")
+    wanted = counted.where("n > 1").groupBy(F.col("k").alias("of")).agg(
+        F.collect_list(F.struct("h", "x", "k", "place")).alias("wanted")
     )
-    docs = docs.withColumn("tie", F.xxhash64("data"))
-    found = _contexts(docs.join(spans, F.col("k") == F.col("own")))
-    found = settle(found, "contexts")
-    _release(spark)
-    distinct = found.groupBy("h", "x").agg(F.max("context").alias("context"), F.min("k").alias("least"))
-    told = settle(_told(distinct), "sources")
+    compared = settle(_told(_contexts(docs.join(wanted, F.col("k") == F.col("of")))), "compared")
     _release(spark)
-    gone = found.select("h", "x", "k", "tie", "first").join(told, ["h", "x"])
-    gone = gone.select("k", "tie", "first", F.explode("runs").alias("r")).where("r.source < k")
-    gone = gone.groupBy(F.col("k").alias("own"), F.col("tie").alias("own_tie")).agg(
+    size = F.shiftright("place", TIE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
+    run = F.struct(F.lit(0).alias("at"), (size + 1).alias("to"), F.col("k").alias("source"))
+    alone = counted.where("n = 1").select("h", "x", F.array(run).alias("runs"))
+    told = alone.unionByName(compared)
+    gone = shared.join(told, ["h", "x"]).select("k", "place", F.explode("runs").alias("r"))
+    first = F.shiftright("place", TIE_BITS + SIZE_BITS)
+    gone = gone.where("r.source < k").groupBy(
+        F.col("k").alias("of"), F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("of_tie")
+    )
+    gone = gone.agg(
         F.collect_list(
             F.struct(
-                (F.col("first") + F.col("r.at")).alias("start"),
-                (F.col("first") + F.col("r.to") + (LENGTH - 1)).alias("end"),
+                (first + F.col("r.at")).alias("start"),
+                (first + F.col("r.to") + (LENGTH - 1)).alias("end"),
             )
         ).alias("spans")
     )
-    same = (F.col("k") == F.col("own")) & (F.col("tie") == F.col("own_tie"))
+    same = (F.col("k") == F.col("of")) & (F.col("tie") == F.col("of_tie"))
     return docs.join(gone, same, "left").select("doc_id", "data", "spans")
 
 
