@@ -1,0 +1,55 @@
+"""Documents with every odd case, beside ordinary ones."""
+
+import random
+
+import pytest
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars int, "
+    "size int, score double, stats string, fingerprint string, h long"
+)
+WORDS = "the of and ering thorn blest nd eaux mentoi stion hetian whsh anble retou".split()
+
+
+def sentence(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "s", "ed", "ly"]) for _ in range(n)) + "."
+
+
+def table(spark, texts, sources=("a", "b", None)):
+    """Texts as documents; columns that clash with the operators' own come along."""
+    rows = [
+        (n, t, "en", sources[n % len(sources)], None if t is None else len(t), 7, 0.5, "s", "f", n)
+        for n, t in enumerate(texts)
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def texts():
+    """Nulls, empty texts, copies, near copies, shared passages, a long text, odd characters."""
+    rng = random.Random(7)
+    passage = sentence(rng, 40)
+    made = [sentence(rng, rng.randrange(20, 120)) for _ in range(40)]
+    made += [None, "", " \n\t ", "one", "two words", None, ""]
+    made += [made[3]] * 5 + [made[4] + " tail", "Head " + made[4]]
+    made += [sentence(rng, 30) + " " + passage + " " + sentence(rng, 30) for _ in range(6)]
+    made += ["aaaa" * 60, "aaaa" * 61, "\x00" * 70, "漢字かな " * 40, "é‍👩‍🚀 it's we'll 12½ x\x85 y  \n\n z"]
+    made += [" ".join(sentence(rng, 50) for _ in range(120)), "x" * 30_000, "1" * 5_000 + "@" * 200]
+    return made
+
+
+@pytest.fixture(scope="session")
+def docs(spark, texts):
+    return table(spark, texts).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def repeated(spark, docs):
+    """The documents with some rows twice, and rows without doc_id."""
+    null = docs.where("doc_id in (3, 7)").selectExpr("cast(null as long) as doc_id", *docs.columns[1:])
+    return docs.unionByName(docs.where("doc_id < 9")).unionByName(null).cache()
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
