@@ -21,12 +21,12 @@ def join_raw(sensors: DataFrame, raw_newest: DataFrame, natural: bool = True) ->
 
     Both sides carry ``place``, ``sensor_ID`` and ``voltage``; the natural join uses all
     three, so a raw row with another voltage stays unmatched. Missing values match each
-    other. ``natural=False`` joins on place and sensor only.
+    other. ``natural=False`` joins on place and sensor only. Copies of a raw row count once.
     """
     keys = ["place", "sensor_ID"] + (["voltage"] if natural else [])
     right = raw_newest.select(
         *(F.col(k).alias(f"_{k}") for k in keys), "processed", "raw_data_date"
-    )
+    ).distinct()
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -43,10 +43,12 @@ def camera_health(located: DataFrame, as_of) -> DataFrame:
     )
 
 
-def sensor_health(sensors: DataFrame, status: DataFrame, raw_newest: DataFrame, cameras: DataFrame) -> DataFrame:
+def sensor_health(sensors: DataFrame, raw_newest: DataFrame, cameras: DataFrame) -> DataFrame:
     """Health and error flags per sensor row.
 
-    ``cameras`` is the result of ``camera_health``. A sensor's camera is the one of its
+    ``sensors`` are map rows with their own status, from ``judge``; ``cameras`` is the result of
+    ``camera_health``. Different facts of tied raw rows or photos give a row each, copies don't,
+    so the rows stay in proportion to the sensors' however many copies there are. A sensor's camera is the one of its
     place whose id without the prefix is the sensor id. Flags are NULL where a needed fact
     is missing. A photo age of exactly the limit raises neither outage flag. Every sensor is
     matched with its camera, not only the first of a place.
@@ -55,13 +57,9 @@ def sensor_health(sensors: DataFrame, status: DataFrame, raw_newest: DataFrame,
         F.col("place").alias("_place"),
         drop_first(F.col("camera_ID"), CAMERA_PREFIX).alias("_sensor"),
         F.col("age").alias("camera_age"),
-    )
+    ).distinct()
     mine = (F.col("place") == F.col("_place")) & (F.col("sensor_ID") == F.col("_sensor"))
-    rows = (
-        join_raw(sensors.join(status, "sensor_ID", "left"), raw_newest)
-        .join(partner, mine, "left")
-        .drop("_place", "_sensor")
-    )
+    rows = join_raw(sensors, raw_newest).join(partner, mine, "left").drop("_place", "_sensor")
     state = F.col("flood_status")
     troubled = state != "NOT FLOODING"
     fresh = troubled & (F.col("raw_data_date") == F.col("date"))

@@ -114,19 +114,23 @@ def with_segments(
 
     Readings meet their instant's number by a join on sensor and instant. Instants with more
     than ``hot_rows`` readings are split: their number is copied into so many shares that each
-    stays below the bound, and their readings are dealt out over the shares.
+    stays below the bound, and their readings are dealt out over the shares. Only those instants
+    are settled. The row number that deals readings out is given before any join of this
+    function, so that a task that runs again gives it again.
     """
-    shares = F.ceil((F.col("drawn") + F.col("blank")) / F.lit(hot_rows))
-    numbers = numbered_instants(series, gap_ms, seconds).withColumn("shares", shares)
-    numbers = settle(numbers.select("sensor_ID", "date", "segment", "shares"), "instants")
     keys = ["sensor_ID", "date"]
-    hot = settle(numbers.where("shares > 1").select(*keys, "shares"), "hot")
-    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce("shares", F.lit(1)))
-    rows = series.join(hot, keys, "left").withColumn("share", dealt).drop("shares")
-    copies = numbers.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    shares = F.ceil(F.col("n") / F.lit(hot_rows))
+    hot = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = settle(hot.select(*keys, shares.alias("shares")), "hot")
+    dealt = F.pmod("_row", F.coalesce("shares", F.lit(1)))
+    rows = series.withColumn("_row", F.monotonically_increasing_id()).join(hot, keys, "left")
+    rows = rows.withColumn("share", dealt).drop("shares", "_row")
+    numbers = numbered_instants(series, gap_ms, seconds).join(hot, keys, "left")
+    last = F.coalesce("shares", F.lit(1)) - 1
+    copies = numbers.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     drawn = F.when(F.col("wl").isNotNull(), F.col("segment"))
     return (
-        rows.join(copies.drop("shares"), [*keys, "share"])
+        rows.join(copies.select(*keys, "segment", "share"), [*keys, "share"])
         .withColumn("segment", drawn)
         .select(*series.columns, "segment")
     )

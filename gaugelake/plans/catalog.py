@@ -55,10 +55,6 @@ def _newest(w: Warehouse) -> DataFrame:
     return settle(latest.newest_rows(w.readings, ["sensor_ID"], "date"), "newest")
 
 
-def _status(newest: DataFrame) -> DataFrame:
-    return status.judge(newest, AS_OF).select(*status.STATUS_COLUMNS)
-
-
 def _surveys(w: Warehouse) -> DataFrame:
     return settle(latest.latest_surveys(w.surveys), "surveys")
 
@@ -83,8 +79,11 @@ def _series(w: Warehouse) -> DataFrame:
     return series.sensor_series(w.readings, START, END)
 
 
-def _mapped(w: Warehouse, newest: DataFrame | None = None) -> DataFrame:
-    """Labelled map rows of the sensors, from the newest readings where these are known."""
+def mapped_rows(w: Warehouse, newest: DataFrame | None = None) -> DataFrame:
+    """Labelled map rows of the sensors, from the newest readings where these are known.
+
+    What has been found about those (age and status, from ``judge``) stays on the rows.
+    """
     labels = latest.sensor_labels(latest.latest_surveys(w.surveys))
     if newest is None:
         sensors = latest.latest_sensors(w.readings, AS_OF, LOOKBACK_DAYS)
@@ -172,12 +171,14 @@ def q_latest_raw(w):
 # Map and places
 
 
+def sensor_map_rows(w: Warehouse) -> DataFrame:
+    rows = mapped_rows(w, status.judge(_newest(w), AS_OF))
+    return status.status_color(rows, grey_when_missing=False)
+
+
 @query
 def q_sensor_map(w):
-    newest = _newest(w)
-    joined = _mapped(w, newest).join(_status(newest), "sensor_ID", "left")
-    colored = status.status_color(joined, grey_when_missing=False)
-    return colored.select(
+    return sensor_map_rows(w).select(
         "sensor_ID",
         "sensor_label",
         "place",
@@ -195,11 +196,15 @@ def q_camera_locations(w):
     )
 
 
+def camera_map_rows(w: Warehouse) -> DataFrame:
+    found = status.flood_status(w.readings, AS_OF).select("sensor_ID", "flood_status").distinct()
+    joined = _located(w).join(found, "sensor_ID", "left")
+    return status.status_color(joined, grey_when_missing=True)
+
+
 @query
 def q_camera_map(w):
-    joined = _located(w).join(status.flood_status(w.readings, AS_OF), "sensor_ID", "left")
-    colored = status.status_color(joined, grey_when_missing=True)
-    return colored.select("camera_ID", "camera_label", "flood_status", "flood_color", "popup")
+    return camera_map_rows(w).select("camera_ID", "camera_label", "flood_status", "flood_color", "popup")
 
 
 @query
@@ -209,18 +214,18 @@ def q_camera_caption(w):
 
 @query
 def q_place_list(w):
-    return places.place_list(_mapped(w), w.cameras)
+    return places.place_list(mapped_rows(w), w.cameras)
 
 
 @query
 def q_place_view(w):
-    view = places.place_view(_mapped(w), w.cameras)
+    view = places.place_view(mapped_rows(w), w.cameras)
     return view.select("place", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "zoom")
 
 
 @query
 def q_place_choices(w):
-    sensors = places.place_choices(settle(_mapped(w), "mapped"), "sensor_ID", "sensor_label")
+    sensors = places.place_choices(settle(mapped_rows(w), "mapped"), "sensor_ID", "sensor_label")
     cameras = places.place_choices(
         w.cameras.withColumn("camera_label", glue(F.col("camera_label"), " (", F.col("camera_ID"), ")")),
         "camera_ID",
@@ -233,7 +238,7 @@ def q_place_choices(w):
 
 @query
 def q_site_rules(w):
-    return places.site_rules(_mapped(w))
+    return places.site_rules(mapped_rows(w))
 
 
 @query
@@ -246,7 +251,7 @@ def q_deeplink(spark, sf_dir):
     w = testdata.load(spark, sf_dir)
     parsed = links.parse_links(testdata.links(spark, sf_dir))
     found = links.resolve_links(
-        parsed, latest.latest_surveys(w.surveys), places.place_view(_mapped(w), w.cameras)
+        parsed, latest.latest_surveys(w.surveys), places.place_view(mapped_rows(w), w.cameras)
     )
     return found.withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
 
@@ -425,28 +430,26 @@ def q_provider_levels(w):
 
 @query
 def q_natural_join(w):
-    joined = health.join_raw(_mapped(w), latest.latest_raw(w.raw))
+    joined = health.join_raw(mapped_rows(w), latest.latest_raw(w.raw))
     return joined.select("sensor_ID", "raw_data_date", "processed")
 
 
 @query
 def q_intended_join(w):
-    joined = health.join_raw(_mapped(w), latest.latest_raw(w.raw), natural=False)
+    joined = health.join_raw(mapped_rows(w), latest.latest_raw(w.raw), natural=False)
     return joined.select("sensor_ID", "raw_data_date", "processed")
 
 
-def _health(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+def health_rows(w: Warehouse) -> tuple[DataFrame, DataFrame]:
     cameras = health.camera_health(_located(w), AS_OF)
-    newest = _newest(w)
-    sensors = health.sensor_health(
-        _mapped(w, newest), _status(newest), latest.latest_raw(w.raw), cameras
-    )
+    judged = status.judge(_newest(w), AS_OF)
+    sensors = health.sensor_health(mapped_rows(w, judged), latest.latest_raw(w.raw), cameras)
     return sensors, cameras
 
 
 @query
 def q_sensor_health(w):
-    return _health(w)[0].select(
+    return health_rows(w)[0].select(
         "sensor_ID", "label", "no_data_error", "gateway_error", "processing_error"
     )
 
@@ -458,12 +461,12 @@ def q_camera_health(w):
 
 @query
 def q_battery(w):
-    return health.battery_band(_mapped(w))
+    return health.battery_band(mapped_rows(w))
 
 
 @query
 def q_place_panel(w):
-    sensors, cameras = _health(w)
+    sensors, cameras = health_rows(w)
     return health.place_panel(settle(sensors, "health"), settle(cameras, "cameras"))
 
 

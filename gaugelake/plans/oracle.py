@@ -122,18 +122,25 @@ _TRUTH = """
   ('silent', false, true, 'UNKNOWN'), ('silent', false, false, 'UNKNOWN'),
   ('silent', false, null, 'UNKNOWN')"""
 
-FRAGMENTS = {
-    **BASE,
-    "judged": f"""
-      select "sensor_ID", date, age as time_since_measurement,
-        {_age_text('age')} as time_since_measurement_text, age <= 40 as is_current,
+def _judge(columns, table):
+    """Age and status of each row of a table of readings."""
+    return f"""
+      select {columns} age as time_since_measurement,
+        {_age_text('age')} as time_since_measurement_text,
         case when age >= 180 then 'UNKNOWN' else known end as flood_status
       from (select *, sensor_water_level_adj >= alert_threshold as a,
-              sensor_water_level_adj >= road_elevation as r,
+              sensor_water_level_adj >= road_elevation as r, age <= 40 as is_current,
               case when age <= 40 then 'current' else 'silent' end as phase
-            from (select *, {_age('date')} as age from {_newest('display', '"sensor_ID"', 'date')} n) x) y
+            from (select *, {_age('date')} as age from {table} n) x) y
       left join (values {_TRUTH}) t(stage, alert, road, known)
-        on stage = phase and alert is not distinct from a and road is not distinct from r""",
+        on stage = phase and alert is not distinct from a and road is not distinct from r"""
+
+
+FRAGMENTS = {
+    **BASE,
+    "judged": _judge(
+        '"sensor_ID", date, is_current, ', _newest("display", '"sensor_ID"', "date")
+    ),
     "opened": """
       select d.*, nxt, sensor_water_level_adj >= alert_threshold as a,
         sensor_water_level_adj >= road_elevation as r
@@ -150,6 +157,7 @@ FRAGMENTS = {
       select s.*, site || ' (' || s."sensor_ID" || ')' as sensor_label,
         site || '<br> (' || s."sensor_ID" || ')' as lines
       from located_sensors s join labels l on s."sensor_ID" = l."sensor_ID" """,
+    "mapped_judged": _judge("y.*,", "mapped"),
     "located_cams": f"""
       select c.*, p."DateTimeOriginalUTC" from cams c
       left join {_newest('photos', '"camera_ID"', '"DateTimeOriginalUTC"')} p
@@ -216,11 +224,10 @@ FRAGMENTS = {
               any_value(case when place in ('Down East, North Carolina', 'Hawaii') then 11 else 16 end) as zoom_c
             from cams group by place) c using (place)""",
     "health": """
-      select s.*, j.time_since_measurement_text, j.flood_status, r.raw_data_date, r.processed, c.age as camera_age
-      from mapped s left join judged j on s."sensor_ID" = j."sensor_ID"
-      left join newest_raw r on s.place is not distinct from r.place
+      select s.*, r.raw_data_date, r.processed, c.age as camera_age
+      from mapped_judged s left join (select distinct * from newest_raw) r on s.place is not distinct from r.place
         and s."sensor_ID" is not distinct from r."sensor_ID" and s.voltage is not distinct from r.voltage
-      left join cam_health c on c.place = s.place and regexp_replace(c."camera_ID", 'CAM_', '') = s."sensor_ID" """,
+      left join (select distinct place, "camera_ID", age from cam_health) c on c.place = s.place and regexp_replace(c."camera_ID", 'CAM_', '') = s."sensor_ID" """,
     "facts": """
       select "sensor_ID", date,
         case when a is null or r is null then null when r then 'FLOODING' when a then 'WARNING'
@@ -291,7 +298,8 @@ NEEDS = {
     "tide": ["api"],
     "tide_range": ["tide"],
     "views": ["mapped", "cams"],
-    "health": ["mapped", "judged", "newest_raw", "cam_health"],
+    "mapped_judged": ["mapped"],
+    "health": ["mapped_judged", "newest_raw", "cam_health"],
 }
 
 
@@ -368,7 +376,7 @@ def _chart(admin):
 
 
 _JOINED = """select "sensor_ID", raw_data_date, processed from mapped s left join (
-  select place as p, "sensor_ID" as i, voltage as v, processed, raw_data_date from newest_raw) r on s.place is not distinct from r.p
+  select distinct place as p, "sensor_ID" as i, voltage as v, processed, raw_data_date from newest_raw) r on s.place is not distinct from r.p
   and s."sensor_ID" is not distinct from r.i"""
 
 _ROADSIDE = (
@@ -433,11 +441,11 @@ ORACLE = {
     ),
     "q_latest_raw": _sql(["newest_raw"], "select * from newest_raw"),
     "q_sensor_map": _sql(
-        ["mapped", "judged"],
+        ["mapped_judged"],
         f"""select "sensor_ID", sensor_label, place, flood_status, {_COLOR} as flood_color,
           {_SENSOR_POPUP} || '<p align="center">Click to view data at this site</p></div>' as popup,
           {_SENSOR_POPUP} || '</div>' as view_popup
-        from mapped m left join (select "sensor_ID" as i, flood_status from judged) j on m."sensor_ID" = j.i""",
+        from mapped_judged""",
     ),
     "q_camera_locations": _sql(
         ["located_cams"],
@@ -450,7 +458,7 @@ ORACLE = {
           '<div><h4 align="center"><strong>' || camera_label || '<br> (' || "camera_ID" || ')</h4></strong>'
             || '<h5 align="center">Last picture:</h5><p align="center">' || {_clock('"DateTimeOriginalUTC"')}
             || '</p><p align="center">Click to view this camera</p></div>' as popup
-        from located_cams c left join (select "sensor_ID" as i, flood_status from judged) j
+        from located_cams c left join (select distinct "sensor_ID" as i, flood_status from judged) j
           on c."sensor_ID" = j.i""",
     ),
     "q_camera_caption": _sql(

@@ -2,15 +2,19 @@
 
 A per-key summary (newest instant per sensor, one row per camera, ...) is small in
 practice, but nothing proves it before it has been computed. ``settle`` computes it once
-and writes it as Parquet. Spark then plans later joins from the real file sizes: it
-broadcasts the table only when it fits ``spark.sql.autoBroadcastJoinThreshold`` and
-shuffles both sides otherwise. The files outlive lost executors.
+and writes it as Parquet. Later joins are planned from what has been written. The files
+outlive lost executors.
+
+Parquet packs equal rows into almost nothing, so file sizes say little about the memory a
+broadcast takes. The rows are counted while they are written; a table whose rows, at the
+width of their types, exceed ``spark.sql.autoBroadcastJoinThreshold`` is never broadcast.
 """
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,5 +41,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` once and return it as a table of known size."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    # Types have a default width each; a row has eight bytes besides.
+    width = 8 + spark._jvm.org.apache.spark.sql.types.DataType.fromJson(df.schema.json()).defaultSize()
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return table.hint("merge") if seen.get["rows"] * width > most else table
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Remove what this application has settled. No table that came from it may be read later."""
+    app = spark.conf.get("spark.app.id", "app")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/gaugelake/{app}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,7 @@
 from gaugelake.operators import health, latest
-from gaugelake.schemas import CAMERAS, RAW, READINGS
+from gaugelake.plans import catalog
+from gaugelake.schemas import CAMERAS, RAW, READINGS, SURVEYS
+from gaugelake.sources.warehouse import Warehouse
 
 NOW = "2024-01-30 12:00:00"
 STATUS = "sensor_ID STRING, time_since_measurement BIGINT, time_since_measurement_text STRING, flood_status STRING"
@@ -37,7 +39,7 @@ def flags(frame, state, photo, raw_date=THEN, processed=True):
         [dict(camera_ID="CAM_A_1", place="X", DateTimeOriginalUTC=photo),
          dict(camera_ID="CAM_A_1", place="elsewhere", DateTimeOriginalUTC=NOW)],
     )
-    rows = health.sensor_health(sensors, status, latest.latest_raw(raw), health.camera_health(cameras, NOW)).collect()
+    rows = health.sensor_health(sensors.join(status, "sensor_ID", "left"), latest.latest_raw(raw), health.camera_health(cameras, NOW)).collect()
     assert len(rows) == 1
     return tuple(rows[0][c] for c in ("label", "no_data_error", "gateway_error", "processing_error"))
 
@@ -58,7 +60,7 @@ def test_every_sensor_of_a_place_finds_its_camera(frame):
     status = frame(STATUS, [dict(sensor_ID=s, flood_status="UNKNOWN") for s in ("A", "B")])
     raw = frame(RAW, [dict(sensor_ID=s, place="X", voltage=4.0, date=THEN) for s in ("A", "B")])
     cameras = frame(LOCATED, [dict(camera_ID=f"CAM_{s}", place="X", DateTimeOriginalUTC=NOW) for s in ("A", "B")])
-    got = health.sensor_health(sensors, status, latest.latest_raw(raw), health.camera_health(cameras, NOW))
+    got = health.sensor_health(sensors.join(status, "sensor_ID", "left"), latest.latest_raw(raw), health.camera_health(cameras, NOW))
     assert {r["sensor_ID"]: r["no_data_error"] for r in got.collect()} == {"A": True, "B": True}
 
 
@@ -82,3 +84,24 @@ def test_panel_counts_places_without_sensors_or_cameras(frame):
         ("X", "sensor", "A"): (2, 1), ("X", "sensor", "B"): (2, 1), ("X", "camera", "c"): (2, 1),
         ("Z", "camera", "d"): (0, 1), (None, "sensor", "N"): (1, 0),
     }
+
+
+def test_ties_stay_linear(spark, frame):
+    """3,000 copies of the newest reading, raw row and photo give 3,000 rows each."""
+    n = 3_000
+    many = spark.range(n)
+    row = dict(sensor_ID="A", place="X", date="2024-01-30 11:59:00", lat=1.0, lng=1.0, voltage=4.0,
+               sensor_water_level_adj=0.0, alert_threshold=1.0, road_elevation=2.0)
+    readings = frame(READINGS, [row]).crossJoin(many.select()).repartition(4)
+    raw = frame(RAW, [dict(sensor_ID="A", place="X", date=THEN, voltage=4.0, processed=True)]).crossJoin(many.select())
+    surveys = frame(SURVEYS, [dict(sensor_ID="A", date_surveyed=THEN, sensor_label="L")])
+    cameras = frame(CAMERAS, [dict(camera_ID="CAM_A", sensor_ID="A", camera_label="C", place="X")])
+    photos = frame("camera_ID STRING, DateTimeOriginalUTC TIMESTAMP", [dict(camera_ID="CAM_A", DateTimeOriginalUTC=THEN)])
+    w = Warehouse(readings, raw, surveys, None, cameras, photos.crossJoin(many.select()))
+    assert catalog.sensor_map_rows(w).count() == n
+    assert catalog.camera_map_rows(w).count() == n
+    sensors, located = catalog.health_rows(w)
+    assert sensors.count() == n
+    assert health.place_panel(sensors, located).count() == 2 * n
+    for natural in (True, False):
+        assert health.join_raw(catalog.mapped_rows(w), latest.latest_raw(raw), natural).count() == n

@@ -1,0 +1,33 @@
+"""Settled tables are broadcast by their rows, not by their file sizes."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from gaugelake.settle import clear_settled, settle, shared_folder
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_equal_rows_are_not_broadcast(spark):
+    rows = spark.range(3_000_000).select(F.lit(1).alias("k"), *(F.lit("x").alias(f"c{n}") for n in range(13)))
+    big = settle(rows, "big")
+    left = spark.range(10).select(F.col("id").cast("int").alias("k"))
+    assert big.count() == 3_000_000
+    assert "Broadcast" not in plan(left.join(big, "k", "left"))
+
+
+def test_small_tables_are_broadcast(spark):
+    small = settle(spark.range(10).select(F.col("id").alias("k")), "small")
+    assert "BroadcastHashJoin" in plan(spark.range(1000).join(small, F.col("id") == F.col("k")))
+
+
+def test_settled_tables_can_be_cleared(spark):
+    settle(spark.range(3), "x")
+    folder = shared_folder(spark).removeprefix("file:")
+    inside = f"{folder}/gaugelake/{spark.conf.get('spark.app.id')}"
+    assert os.listdir(inside)
+    clear_settled(spark)
+    assert not os.path.exists(inside)
