@@ -3,7 +3,7 @@
 A per-key summary (newest instant per sensor, one row per camera, ...) is small in
 practice, but nothing proves it before it has been computed. ``settle`` computes it once
 and writes it as Parquet. Later joins are planned from what has been written. The files
-outlive lost executors.
+outlive lost executors, and the shuffles that led to them are dropped at once.
 
 Parquet packs equal rows into almost nothing, so file sizes say little about the memory a
 broadcast takes. The rows are counted while they are written; a table whose rows, at the
@@ -12,6 +12,8 @@ width of their types, exceed ``spark.sql.autoBroadcastJoinThreshold`` is never b
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +39,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gaugelake/{app}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What runs within lets go of its shuffle files at its end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Compute ``df`` once and return it as a table of known size."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     # Types have a default width each; a row has eight bytes besides.
     width = 8 + spark._jvm.org.apache.spark.sql.types.DataType.fromJson(df.schema.json()).defaultSize()
