@@ -19,8 +19,6 @@ Up to step 3, a context is known by two 64-bit hashes, of its gram and of its by
 place where it stands; its bytes are read there when a shard needs them.
 """
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -243,12 +241,6 @@ def _told(contexts: DataFrame) -> DataFrame:
     return dealt.select("h", "x", "least", "context").mapInArrow(run, schema)
 
 
-def _release(spark) -> None:
-    """Let go of the shuffles of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def with_spans(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) to rows (doc_id, data, spans): bytes, and spans that go.
 
@@ -256,7 +248,6 @@ def with_spans(docs: DataFrame) -> DataFrame:
     smaller than any other; rows with equal doc_ids take nothing from each other. Every row
     comes back.
     """
-    spark = docs.sparkSession
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"),
@@ -265,9 +256,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("tie", F.xxhash64("data").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
     several = _anchors(docs, False).groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     several = settle(several.where("a < b").select("h"), "grams")
-    _release(spark)
     shared = settle(_anchors(docs, True).join(several, "h"), "anchors")
-    _release(spark)
     own = F.min(F.struct("k", "place")).alias("own")
     distinct = settle(shared.groupBy("h", "x").agg(own).select("h", "x", "own.*"), "contexts")
     counts = distinct.groupBy("h").agg(F.count("*").alias("n"))
@@ -276,7 +265,6 @@ def with_spans(docs: DataFrame) -> DataFrame:
         F.collect_list(F.struct("h", "x", "k", "place")).alias("wanted")
     )
     compared = settle(_told(_contexts(docs.join(wanted, F.col("k") == F.col("of")))), "compared")
-    _release(spark)
     size = F.shiftright("place", TIE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
     run = F.struct(F.lit(0).alias("at"), (size + 1).alias("to"), F.col("k").alias("source"))
     alone = counted.where("n = 1").select("h", "x", F.array(run).alias("runs"))
