@@ -5,7 +5,8 @@ row, so no key is ever gathered in one task. The newest instants are found by an
 aggregation that shrinks before its shuffle and are settled as a small table; the rows are
 then joined back on key and instant. When the summary fits a broadcast the join moves no
 row at all, else rows spread by (key, instant). The oldest of the wanted instants also goes
-into the second scan as a plain filter, which skips the row groups of older files.
+into the second scan as a plain filter, which skips the row groups of older files; with day
+folders, only those of wanted instants are opened.
 """
 
 from functools import reduce
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.functions.clock import instant
 from gaugelake.settle import settle
+from gaugelake.sources.warehouse import DAY, on_days
 
 
 def _rows_at(df: DataFrame, instants: DataFrame, keys: list[str], ts: str) -> DataFrame:
@@ -24,6 +26,10 @@ def _rows_at(df: DataFrame, instants: DataFrame, keys: list[str], ts: str) -> Da
     oldest = seen.get["oldest"]
     if oldest is not None:
         df = df.where(F.col(ts) >= F.timestamp_micros(F.lit(oldest)))
+    if DAY in df.columns:
+        # At most one row for each day of the record; days may be counted in either zone.
+        days = F.explode(F.array(*(F.date_add(F.col(ts).cast("date"), n) for n in (-1, 0, 1))))
+        df = df.where(F.col(DAY).isin([r[0] for r in instants.select(days).distinct().collect()]))
     extra = [c for c in instants.columns if c not in (*keys, ts)]
     side = instants.select(*(F.col(c).alias(f"_{c}") for c in (*keys, ts)), *extra)
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(ts) == F.col(f"_{ts}")]
@@ -103,7 +109,9 @@ def latest_sensors(readings: DataFrame, as_of, lookback_days: int) -> DataFrame:
 
     Only the lookback is scanned.
     """
-    newest = newest_rows(readings.where(_since(as_of, lookback_days)), ["sensor_ID"], "date")
+    first = F.date_sub(instant(as_of).cast("date"), lookback_days)
+    recent = on_days(readings, first).where(_since(as_of, lookback_days))
+    newest = newest_rows(recent, ["sensor_ID"], "date")
     return recent_sensors(newest, as_of, lookback_days)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from gaugelake.functions.clock import day, utc_midnight
 from gaugelake.functions.text import filled, has_item
 from gaugelake.settle import settle
-from gaugelake.sources.payloads import tide_rows
-from gaugelake.sources.warehouse import water_levels
+from gaugelake.sources.payloads import asked_between, tide_rows
+from gaugelake.sources.warehouse import on_days, water_levels
 
 TYPE_SEPARATOR = ", "
 
@@ -48,7 +48,7 @@ def provider_observations(provider: DataFrame, start, end) -> DataFrame:
     first, last = _days(start, end)
     inside = F.col("date").between(utc_midnight(first), utc_midnight(last))
     return (
-        water_levels(provider)
+        water_levels(on_days(provider, first, last))
         .where(inside)
         .select(
             "id",
@@ -60,27 +60,31 @@ def provider_observations(provider: DataFrame, start, end) -> DataFrame:
     )
 
 
-def tide_levels(payloads: DataFrame, kind: str, start, end) -> DataFrame:
-    """Tide-service rows of whole days; the service's last day is inclusive."""
+def tide_levels(payloads: DataFrame, start, end) -> DataFrame:
+    """Tide-service rows of whole days; the service's last day is inclusive.
+
+    Answers to requests for other days are left out before they are parsed.
+    """
     first, last = _days(start, end)
     date, after = F.col("date"), utc_midnight(F.date_add(last, 1))
-    return tide_rows(payloads, kind).where((date >= utc_midnight(first)) & (date < after))
+    rows = tide_rows(asked_between(payloads, first, last), "obs", "pred")
+    return rows.where((date >= utc_midnight(first)) & (date < after))
 
 
-def dispatched(
-    gauges: DataFrame, provider: DataFrame, payloads: DataFrame, kind: str, start, end
-) -> DataFrame:
+def dispatched(gauges: DataFrame, provider: DataFrame, payloads: DataFrame, start, end) -> DataFrame:
     """Rows of each gauge reference from the source its ``src`` names, in any case.
 
-    ``gauges`` has ``id``, ``src`` and anything to carry along. Stored providers know
-    observations only and return them for every kind; unknown sources return nothing.
-    ``gauges`` should be settled: it is then broadcast if it fits, so that the readings of
-    a gauge shared by many sensors stay where they were read.
+    ``gauges`` has ``id``, ``src``, ``want`` (``obs`` or ``pred``) and anything to carry along.
+    Stored providers know observations only and return them whatever is wanted; unknown sources
+    return nothing. Each source is read once for all gauges. ``gauges`` should be settled: it is
+    then broadcast if it fits, so that the readings of a gauge shared by many sensors stay where
+    they were read.
     """
     src = F.upper("src")
     noaa = gauges.where(src == "NOAA")
-    asked = payloads.join(noaa.select("id").distinct(), "id", "left_semi")  # before parsing
-    tide = tide_levels(asked, kind, start, end).join(noaa, "id")
+    wanted = noaa.select("id", F.col("want").alias("type")).distinct()
+    asked = payloads.join(wanted, ["id", "type"], "left_semi")  # before parsing
+    tide = tide_levels(asked, start, end).withColumnRenamed("type", "want").join(noaa, ["id", "want"])
     stored = provider_observations(provider, start, end).join(
         gauges.where(src.isin("FIMAN", "HOHONU")), "id"
     )
@@ -94,27 +98,41 @@ def overlay_series(
     payloads: DataFrame,
     start,
     end,
-    kind: str = "obs",
+    *kinds: str,
 ) -> DataFrame:
-    """Overlay levels in both datums for every sensor that may show them.
+    """Overlay levels in both datums for every sensor that may show them, with their ``kind``.
 
-    ``kind`` is ``obs``, ``pred`` or ``alt`` (observations of the alternate gauge).
+    Kinds are ``obs``, ``pred`` and ``alt`` (observations of the alternate gauge); all of them
+    are found in one pass over the sources.
     """
-    if kind == "alt":
-        usable, prefix = F.col("alt_has_obs") & F.col("alt_ok"), "alt_wl"
-    else:
-        usable, prefix = F.col(f"has_{kind}") & (F.col("primary_ok") | F.col("default_on")), "wl"
+    primary = F.col("primary_ok") | F.col("default_on")
+    usable = {
+        "obs": F.col("has_obs") & primary,
+        "pred": F.col("has_pred") & primary,
+        "alt": F.col("alt_has_obs") & F.col("alt_ok"),
+    }
+    shown = [
+        F.when(
+            usable[kind],
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.lit("pred" if kind == "pred" else "obs").alias("want"),
+                F.col("alt_wl_id" if kind == "alt" else "wl_id").alias("id"),
+                F.col("alt_wl_src" if kind == "alt" else "wl_src").alias("src"),
+            ),
+        )
+        for kind in kinds
+    ]
     gauges = (
-        meta.where(usable)
-        .select("sensor_ID", F.col(f"{prefix}_id").alias("id"), F.col(f"{prefix}_src").alias("src"))
+        meta.select("sensor_ID", F.explode(F.array_compact(F.array(*shown))).alias("g"))
+        .select("sensor_ID", "g.*")
         .distinct()
         .join(constants.select("sensor_ID", "road_elevation"), "sensor_ID")
     )
-    rows = dispatched(
-        settle(gauges, "gauges"), provider, payloads, "pred" if kind == "pred" else "obs", start, end
-    )
+    rows = dispatched(settle(gauges, "gauges"), provider, payloads, start, end)
     return rows.select(
         "sensor_ID",
+        "kind",
         "date",
         (F.col("level") - F.col("road_elevation")).alias("road_water_level"),
         F.col("level").alias("sensor_water_level"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gaugelake.functions.clock import day, epoch_ms, instant, local_midnight
 from gaugelake.operators.latest import one_per_key
 from gaugelake.schemas import DRY_BAND_FT, MAX_OVERLAY_DAYS, MAX_REQUEST_READINGS, READINGS_PER_DAY
+from gaugelake.sources.warehouse import on_days
 
 ROAD, NAVD88 = "Road", "NAVD88"
 
@@ -26,7 +27,7 @@ def sensor_series(readings: DataFrame, start, end, sensor_ids=None) -> DataFrame
     """
     date = F.col("date")
     inside = (date >= local_midnight(start)) & (date < local_midnight(end))
-    kept = readings.where(inside & (F.col("qa_qc_flag") == F.lit(False)))
+    kept = on_days(readings, day(start), day(end)).where(inside & (F.col("qa_qc_flag") == F.lit(False)))
     if sensor_ids is None:
         return kept
     if isinstance(sensor_ids, DataFrame):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gaugelake.functions.clock import age_minutes, age_text, instant
 from gaugelake.operators.latest import newest_rows
 from gaugelake.schemas import CURRENT_MINUTES, DOWN_MINUTES
+from gaugelake.sources.warehouse import DAY, on_days
 
 # Box style and map colour of each status.
 SEVERITY = {
@@ -92,11 +93,10 @@ def judged_sensors(
     sensors may be left out.
     """
     if lookback_days is not None:
-        first = F.date_sub(instant(as_of).cast("date"), lookback_days).cast("timestamp")
-        readings = readings.where(F.col("date") > first)
-    facts = readings.select(
-        "sensor_ID", "date", "sensor_water_level_adj", "alert_threshold", "road_elevation"
-    )
+        first = F.date_sub(instant(as_of).cast("date"), lookback_days)
+        readings = on_days(readings, first).where(F.col("date") > first.cast("timestamp"))
+    names = ["sensor_ID", "date", "sensor_water_level_adj", "alert_threshold", "road_elevation"]
+    facts = readings.select(*names, *(c for c in readings.columns if c == DAY))
     return judge(newest_rows(facts, ["sensor_ID"], "date"), as_of, current_min, down_min)
 
 

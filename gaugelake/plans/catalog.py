@@ -322,7 +322,7 @@ def q_thirdparty_obs(w):
 
 def _gauges(w: Warehouse) -> DataFrame:
     named = latest.latest_surveys(w.surveys).select(
-        F.col("wl_id").alias("id"), F.upper("wl_src").alias("src")
+        F.col("wl_id").alias("id"), F.upper("wl_src").alias("src"), F.lit("obs").alias("want")
     )
     return settle(named.distinct(), "gauges")
 
@@ -330,7 +330,7 @@ def _gauges(w: Warehouse) -> DataFrame:
 @query
 def q_thirdparty_union(w):
     rows = overlays.dispatched(
-        _gauges(w), w.provider, testdata.tide_payloads(w.provider), "obs", START, END
+        _gauges(w), w.provider, testdata.tide_payloads(w.provider), START, END
     )
     return rows.groupBy("id", "src").agg(
         F.count(F.lit(1)).alias("n"), F.min("level").alias("low"), F.max("level").alias("high")
@@ -339,12 +339,12 @@ def q_thirdparty_union(w):
 
 @query
 def q_tide_json_obs(w):
-    return payloads.tide_rows(testdata.tide_payloads(w.provider), "obs")
+    return payloads.tide_rows(testdata.tide_payloads(w.provider), "obs").drop("type")
 
 
 @query
 def q_tide_json_pred(w):
-    return payloads.tide_rows(testdata.tide_payloads(w.provider), "pred")
+    return payloads.tide_rows(testdata.tide_payloads(w.provider), "pred").drop("type")
 
 
 @query
@@ -376,14 +376,15 @@ def q_overlay_meta(w):
     return overlays.overlay_meta(latest.latest_surveys(w.surveys))
 
 
-def _overlay(w: Warehouse, meta: DataFrame, constants: DataFrame, kind: str) -> DataFrame:
+def _overlay(w: Warehouse, meta: DataFrame, constants: DataFrame, *kinds: str) -> DataFrame:
     return overlays.overlay_series(
-        meta, constants, w.provider, testdata.tide_payloads(w.provider), START, END, kind
+        meta, constants, w.provider, testdata.tide_payloads(w.provider), START, END, *kinds
     )
 
 
 def _overlay_query(w: Warehouse, kind: str) -> DataFrame:
-    return _overlay(w, overlays.overlay_meta(latest.latest_surveys(w.surveys)), _constants(w), kind)
+    meta = overlays.overlay_meta(latest.latest_surveys(w.surveys))
+    return _overlay(w, meta, _constants(w), kind).drop("kind")
 
 
 @query
@@ -404,8 +405,8 @@ def q_overlay_alt(w):
 def _chart(w: Warehouse, admin: bool) -> DataFrame:
     meta = overlays.overlay_meta(_surveys(w))
     constants = _constants(w)
-    kinds = [_overlay(w, meta, constants, kind) for kind in ("obs", "pred", "alt")]
-    return series.chart_series(_series(w), constants, kinds, admin)
+    drawn = _overlay(w, meta, constants, "obs", "pred", "alt")
+    return series.chart_series(_series(w), constants, [drawn], admin)
 
 
 @query

@@ -211,7 +211,8 @@ FRAGMENTS = {
       select id, date, value as level, type = 'water_level' as observed,
         case when type = 'water_level' then 'NOAA Observed' else 'NOAA Predictions' end as entity,
         case when type = 'water_level' then 'observation' else 'prediction' end as notes
-      from api where id <> '9'""",
+      from (select id, value, type, date from api
+            union all select id, value, type, date + interval 6 minute from api) a where id <> '9'""",
     "tide_range": f"select * from tide where date >= {START} and date < {END} + interval 1 day",
     "views": """
       select place, coalesce(s.zoom_s, c.zoom_c) as zoom,
@@ -593,7 +594,8 @@ ORACLE = {
     ),
     "q_gauge_xml": _sql(
         ["api"],
-        """select id, date, value as level, 'FIMAN' as entity, 'observation' as notes from api
+        """select id, date, value as level, 'FIMAN' as entity, 'observation' as notes
+        from (select * from api union all select * replace (date + interval 6 minute as date) from api) a
         where api_name = 'FIMAN' and type = 'water_level'""",
     ),
     "q_gauge_key": _sql(["gauge_key"], "select * from gauge_key"),

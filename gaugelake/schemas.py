@@ -22,8 +22,9 @@ CAMERAS = (
     "camera_ID STRING, sensor_ID STRING, camera_label STRING, place STRING, lat DOUBLE, lng DOUBLE"
 )
 PHOTOS = "camera_ID STRING, DateTimeOriginalUTC TIMESTAMP"
-# Landed service answers: one document per row with the request it answers.
-PAYLOADS = "id STRING, type STRING, payload STRING"
+# Landed service answers: one document per row with the request it answers. The days asked
+# for (UTC, inclusive) may be missing.
+PAYLOADS = "id STRING, type STRING, payload STRING, first_day DATE, last_day DATE"
 GAUGE_KEY = (
     "place STRING, location STRING, site_id STRING, or_site_id INT, "
     "Sensor STRING, gauge_sensor_id STRING, or_sensor_id INT"

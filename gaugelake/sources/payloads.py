@@ -17,38 +17,52 @@ TIDE_KINDS = {
 }
 
 
-def _tide_points(payloads: DataFrame, kind: str) -> DataFrame:
-    field = TIDE_KINDS[kind][0]
+def asked_between(payloads: DataFrame, first, last) -> DataFrame:
+    """Answers to requests that touch a range of days; unknown days may touch any."""
+    return payloads.where(
+        F.coalesce(F.col("last_day") >= first, F.lit(True))
+        & F.coalesce(F.col("first_day") <= last, F.lit(True))
+    )
+
+
+def _tide_points(payloads: DataFrame) -> DataFrame:
+    """Each answer's list of the kind it was asked for; a document is parsed once."""
     answer = F.from_json("payload", TIDE_JSON)
-    return payloads.where(F.col("type") == kind).withColumn("points", answer[field])
+    points = F.lit(None)
+    for kind, (field, _, _) in TIDE_KINDS.items():
+        points = F.when(F.col("type") == kind, F.col("answer")[field]).otherwise(points)
+    return payloads.withColumn("answer", answer).withColumn("points", points)
 
 
 def _each(answers: DataFrame, points) -> DataFrame:
     """One row per list entry. From a plain ``explode`` Spark would infer a filter on the
     list's size and push it down, which parses every document a second time."""
-    rows = answers.select("id", F.explode_outer(points).alias("point"))
+    rows = answers.select("id", "type", F.explode_outer(points).alias("point"))
     return rows.where(F.col("point").isNotNull())
 
 
-def tide_rows(payloads: DataFrame, kind: str) -> DataFrame:
-    """Observed (``obs``) or predicted (``pred``) tide levels."""
-    _, entity, note = TIDE_KINDS[kind]
-    return (
-        _each(_tide_points(payloads, kind), F.col("points"))
-        .select(
-            "id",
-            F.try_to_timestamp(F.col("point.t"), F.lit("yyyy-MM-dd HH:mm")).alias("date"),
-            F.col("point.v").try_cast("double").alias("level"),
-            F.lit(entity).alias("entity"),
-            F.lit(note).alias("notes"),
-        )
+def tide_rows(payloads: DataFrame, *kinds: str) -> DataFrame:
+    """Observed (``obs``) and predicted (``pred``) tide levels, with the ``type`` asked for."""
+    texts = {
+        name: F.coalesce(*(F.when(F.col("type") == k, TIDE_KINDS[k][n]) for k in kinds))
+        for n, name in ((1, "entity"), (2, "notes"))
+    }
+    rows = _each(_tide_points(payloads.where(F.col("type").isin(list(kinds)))), F.col("points"))
+    return rows.select(
+        "id",
+        "type",
+        F.try_to_timestamp(F.col("point.t"), F.lit("yyyy-MM-dd HH:mm")).alias("date"),
+        F.col("point.v").try_cast("double").alias("level"),
+        texts["entity"].alias("entity"),
+        texts["notes"].alias("notes"),
     )
 
 
 def tide_rejects(payloads: DataFrame, kind: str) -> DataFrame:
     """Answers that hold no rows ("No data available")."""
     rows = F.coalesce(F.size("points"), F.lit(0))
-    return _tide_points(payloads, kind).where(rows <= 0).select("id", "type", "payload")
+    asked = _tide_points(payloads.where(F.col("type") == kind))
+    return asked.where(rows <= 0).select("id", "type", "payload")
 
 
 def gauge_rows(payloads: DataFrame, entity: str = "FIMAN") -> DataFrame:

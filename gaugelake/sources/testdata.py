@@ -178,27 +178,39 @@ def load(spark: SparkSession, sf_dir: str) -> DerivedTables:
 def tide_payloads(provider: DataFrame) -> DataFrame:
     """Tide answers: water levels as observations, other rows as predictions.
 
-    Ids 0-8 get one point per answer; answers of id 9 come back empty.
+    Ids 0-8 get two points per answer, the second six minutes later; answers of id 9 come back
+    empty.
     """
-    stamp = "date_format(date, 'yyyy-MM-dd HH:mm')"
-    points = f"array(named_struct('t', {stamp}, 'v', CAST(value AS STRING)))"
+    points = "array(" + ", ".join(
+        f"named_struct('t', date_format(date + INTERVAL {m} MINUTES, 'yyyy-MM-dd HH:mm'),"
+        " 'v', CAST(value AS STRING))"
+        for m in (0, 6)
+    ) + ")"
     return provider.selectExpr(
         "id",
         "CASE WHEN type = 'water_level' THEN 'obs' ELSE 'pred' END AS type",
         "CASE WHEN id = '9' THEN '{\"data\": [], \"predictions\": []}'"
         f" WHEN type = 'water_level' THEN to_json(named_struct('data', {points}))"
         f" ELSE to_json(named_struct('predictions', {points})) END AS payload",
+        "CAST(date AS DATE) AS first_day",
+        "CAST(date + INTERVAL 6 MINUTES AS DATE) AS last_day",
     )
 
 
 def gauge_payloads(provider: DataFrame) -> DataFrame:
-    """State gauge answers, one reading per document."""
+    """State gauge answers, two readings per document."""
+    readings = ", ".join(
+        "'<general><data_time>',"
+        f" date_format(date + INTERVAL {m} MINUTES, 'yyyy-MM-dd HH:mm:ss'), '</data_time><data_value>',"
+        " CAST(value AS STRING), '</data_value></general>'"
+        for m in (0, 6)
+    )
     return provider.where("api_name = 'FIMAN' AND type = 'water_level'").selectExpr(
         "id",
         "'obs' AS type",
-        "concat('<onerain><response><general><data_time>',"
-        " date_format(date, 'yyyy-MM-dd HH:mm:ss'), '</data_time><data_value>',"
-        " CAST(value AS STRING), '</data_value></general></response></onerain>') AS payload",
+        f"concat('<onerain><response>', {readings}, '</response></onerain>') AS payload",
+        "CAST(date AS DATE) AS first_day",
+        "CAST(date + INTERVAL 6 MINUTES AS DATE) AS last_day",
     )
 
 

@@ -2,12 +2,18 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from gaugelake import schemas
 
 
+#: The day folders of partitioned tables.
+DAY = "dt"
+
+
 class Warehouse(NamedTuple):
     readings: DataFrame
     raw: DataFrame
@@ -42,14 +48,32 @@ def _timed(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.where(F.col(spec.instant).isNotNull())
 
 
-def from_parquet(spark: SparkSession, root: str) -> Warehouse:
-    """Open ``root/<table>`` for each table. Date-partitioned layouts prune as usual."""
-    return Warehouse(
-        **{
-            role: _timed(spark.read.schema(spec.schema).parquet(f"{root}/{spec.name}"), spec)
-            for role, spec in TABLES.items()
-        }
-    )
+def from_parquet(spark: SparkSession, root: str, partitioned: bool = False) -> Warehouse:
+    """Open ``root/<table>`` for each table.
+
+    ``partitioned`` says that timed tables are laid out in folders ``dt=<day>``, the UTC or the
+    local day of their instant. Range filters then prune folders, see ``on_days``.
+    """
+
+    def table(spec: TableSpec) -> DataFrame:
+        days = f", {DAY} DATE" if partitioned and spec.instant else ""
+        return spark.read.schema(spec.schema + days).parquet(f"{root}/{spec.name}")
+
+    return Warehouse(**{role: _timed(table(spec), spec) for role, spec in TABLES.items()})
+
+
+def on_days(df: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Prune by day where there is a day column; exact filters on the instant must follow.
+
+    A day more is kept on each side, since days may be counted in either zone.
+    """
+    if DAY not in df.columns:
+        return df
+    if first is not None:
+        df = df.where(F.col(DAY) >= F.date_sub(first, 1))
+    if last is not None:
+        df = df.where(F.col(DAY) <= F.date_add(last, 1))
+    return df
 
 
 def from_jdbc(
@@ -62,7 +86,7 @@ def from_jdbc(
     """
     properties = dict(properties or {})
 
-    def table(spec: TableSpec) -> DataFrame:
+    def rows(spec: TableSpec) -> DataFrame:
         if spec.instant is None:
             return spark.read.jdbc(url, spec.name, properties=properties)
         return spark.read.jdbc(
@@ -75,6 +99,11 @@ def from_jdbc(
             properties=properties,
         )
 
+    def table(spec: TableSpec) -> DataFrame:
+        """The columns of the schema, whatever else the database holds."""
+        fields = StructType.fromDDL(spec.schema).fields
+        return rows(spec).select(*(F.col(f.name).cast(f.dataType) for f in fields))
+
     return Warehouse(**{role: _timed(table(spec), spec) for role, spec in TABLES.items()})
 
 

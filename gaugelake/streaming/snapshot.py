@@ -3,13 +3,15 @@
 The stream keeps one row of state per sensor, so it needs no watermark to stay small; a late
 or repeated row cannot win over a newer one. Of tied readings it keeps the one with the
 largest other columns. Each batch writes a new version of the snapshot and never changes an
-old one: a batch that is replayed after a failure writes its own version again.
+old one: a batch that is replayed after a failure writes its own version again. A version counts
+once it is committed (its folder holds ``_SUCCESS``); a batch reads the one before, removes all
+that are older, and so costs the same however long the stream has run.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def newest_per_sensor(readings: DataFrame) -> DataFrame:
@@ -24,17 +26,44 @@ def newest_per_sensor(readings: DataFrame) -> DataFrame:
     )
 
 
-def _newest_version(spark: SparkSession, folder: str, schema: StructType, below: int) -> DataFrame:
-    """The rows of the newest version numbered below a bound."""
-    numbered = StructType([*schema.fields, StructField("batch", LongType())])
-    versions = spark.read.schema(numbered).parquet(folder).where(F.col("batch") < below)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.where(F.col("batch") == F.lit(newest).cast("long")).drop("batch")
+#: Number of the empty version that a stream begins with.
+FIRST = -1
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the committed versions, ascending."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(
+        int(name.removeprefix("batch="))
+        for name in names
+        if name.startswith("batch=") and files.exists(path(f"{folder}/{name}/_SUCCESS"))
+    )
+
+
+def _version(spark: SparkSession, folder: str, schema: StructType, number: int) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/batch={number}")
 
 
 def read_snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The newest version; empty before the first batch."""
-    return _newest_version(spark, folder, schema, below=2**62)
+    """The newest committed version; empty before the first batch.
+
+    It stays readable until two more batches have been committed.
+    """
+    found = versions(spark, folder)
+    return _version(spark, folder, schema, found[-1]) if found else spark.createDataFrame([], schema)
+
+
+def _remove(spark: SparkSession, folder: str, below: int) -> None:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number in versions(spark, folder):
+        if number < below:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number}"), True)
 
 
 def maintain_snapshot(
@@ -42,13 +71,17 @@ def maintain_snapshot(
 ) -> StreamingQuery:
     """Start the stream. ``trigger`` is that of ``DataStreamWriter.trigger``."""
     schema = readings.schema
-    empty = readings.sparkSession.createDataFrame([], schema)
-    empty.write.mode("ignore").parquet(f"{folder}/batch=-1")  # a first version to build on
+    spark = readings.sparkSession
+    if not versions(spark, folder):  # a first version to build on
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch={FIRST}")
 
     def upsert(changed: DataFrame, batch: int) -> None:
-        kept = _newest_version(changed.sparkSession, folder, schema, below=batch)
+        session = changed.sparkSession
+        base = max(v for v in versions(session, folder) if v < batch)
+        kept = _version(session, folder, schema, base)
         merged = newest_per_sensor(kept.unionByName(changed))
         merged.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        _remove(session, folder, below=base)
 
     return (
         newest_per_sensor(readings)

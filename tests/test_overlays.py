@@ -50,7 +50,8 @@ def everything(spark, frame):
     provider = frame(schemas.PROVIDER, provider_rows())
     points = '[{"t": "2024-01-12 23:54", "v": "5.0"}, {"t": "2024-01-13 00:00", "v": "6.0"}]'
     tide = spark.createDataFrame(
-        [("1", "obs", f'{{"data": {points}}}'), ("1", "pred", f'{{"predictions": {points}}}')], schemas.PAYLOADS
+        [("1", "obs", f'{{"data": {points}}}', None, None), ("1", "pred", f'{{"predictions": {points}}}', None, None)],
+        schemas.PAYLOADS,
     )
     constants = frame(
         CONSTANTS, [dict(sensor_ID=s, sensor_elevation=0.0, road_elevation=2.0) for s in ("A", "B", "CB_9", "D")]

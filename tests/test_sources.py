@@ -8,7 +8,7 @@ from gaugelake.schemas import READINGS
 
 
 def answers(spark, *rows):
-    return spark.createDataFrame(list(rows), schemas.PAYLOADS)
+    return spark.createDataFrame([(*r, None, None) for r in rows], schemas.PAYLOADS)
 
 
 def test_tide_answers(spark):
