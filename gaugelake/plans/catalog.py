@@ -223,6 +223,15 @@ def q_place_view(w):
     return view.select("place", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "zoom")
 
 
+@query
+def q_start_view(w):
+    """Places whose name ends in 0 stand for no place selected."""
+    view = places.place_view(mapped_rows(w), w.cameras)
+    chosen = F.when(~F.col("place").endswith("0"), F.col("place"))
+    view = places.start_view(view.withColumn("place", chosen))
+    return view.select("place", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "zoom")
+
+
 @query
 def q_place_choices(w):
     sensors = places.place_choices(settle(mapped_rows(w), "mapped"), "sensor_ID", "sensor_label")
@@ -271,6 +280,20 @@ def q_sensor_series(w):
     )
 
 
+#: Sensors picked by hand in a chart.
+PICKED = ["CB_01", "BF_05", "NB_13", "ZZ_99"]
+
+
+@query
+def q_series_picked(w):
+    """A list of sensors, and a table of them: those with a camera."""
+    by_list = series.sensor_series(w.readings, START, END, PICKED)
+    by_table = series.sensor_series(w.readings, START, END, w.cameras.select("sensor_ID"))
+    columns = ["sensor_ID", "date", "sensor_water_level_adj", "picked"]
+    rows = by_list.withColumn("picked", F.lit("list")).select(*columns)
+    return rows.unionByName(by_table.withColumn("picked", F.lit("table")).select(*columns))
+
+
 @session_query
 def q_request_guard(spark, sf_dir):
     return series.request_guard(testdata.requests(spark, sf_dir))
@@ -297,6 +320,11 @@ def q_axis_bounds(w):
     return series.axis_bounds(_series(w), _constants(w), _references(w))
 
 
+@query
+def q_axis_bounds_overlay(w):
+    return series.axis_bounds(_series(w), _constants(w), _references(w), overlay=True)
+
+
 @query
 def q_ref_lines(w):
     return series.reference_lines(_constants(w), _references(w), AS_OF)
@@ -312,6 +340,14 @@ def q_download(w):
     return export.download_table(_series(w)).withColumn("file", export.export_name(START, END))
 
 
+@session_query
+def q_download_files(spark, sf_dir):
+    """The files written and read back."""
+    path = fresh_path(spark, "download")
+    export.write_download(_series(testdata.load(spark, sf_dir)), START, END, path)
+    return export.read_download(spark, path)
+
+
 # Third-party levels
 
 
@@ -320,6 +356,12 @@ def q_thirdparty_obs(w):
     return overlays.provider_observations(w.provider, START, END)
 
 
+@query
+def q_thirdparty_reversed(w):
+    """The range given the wrong way round."""
+    return overlays.provider_observations(w.provider, END, START)
+
+
 def _gauges(w: Warehouse) -> DataFrame:
     named = latest.latest_surveys(w.surveys).select(
         F.col("wl_id").alias("id"), F.upper("wl_src").alias("src"), F.lit("obs").alias("want")
@@ -364,6 +406,15 @@ def q_gauge_key(spark, sf_dir):
     return gauge_key.parse_gauge_key(testdata.gauge_key_lines(spark, sf_dir))
 
 
+@session_query
+def q_gauge_key_file(spark, sf_dir):
+    """The key as files, read back."""
+    path = fresh_path(spark, "key")
+    key = gauge_key.parse_gauge_key(testdata.gauge_key_lines(spark, sf_dir))
+    key.write.option("header", True).csv(path)
+    return gauge_key.read_gauge_key(spark, path)
+
+
 @session_query
 def q_gauge_lookup(spark, sf_dir):
     key = gauge_key.parse_gauge_key(testdata.gauge_key_lines(spark, sf_dir))

@@ -476,6 +476,13 @@ ORACLE = {
     "q_place_view": _sql(
         ["views"], "select place, round(lng, 6) as lng, round(lat, 6) as lat, zoom from views"
     ),
+    "q_start_view": _sql(
+        ["views"],
+        """select case when right(place, 1) <> '0' then place end as place,
+          case when right(place, 1) <> '0' then round(lng, 6) else -77.360784::double end as lng,
+          case when right(place, 1) <> '0' then round(lat, 6) else 34.576053::double end as lat,
+          case when right(place, 1) <> '0' then zoom else 8 end as zoom from views""",
+    ),
     "q_place_choices": _sql(
         ["mapped", "cams"],
         """select place, "sensor_ID" as id, sensor_label as label,
@@ -514,6 +521,13 @@ ORACLE = {
         """select "sensor_ID", date, sensor_water_level_adj, road_water_level_adj, sensor_water_level,
           road_water_level from series""",
     ),
+    "q_series_picked": _sql(
+        ["series", "cams"],
+        """select "sensor_ID", date, sensor_water_level_adj, 'list' as picked from series
+        where "sensor_ID" in ('CB_01', 'BF_05', 'NB_13', 'ZZ_99')
+        union all select "sensor_ID", date, sensor_water_level_adj, 'table' from series
+        where "sensor_ID" in (select "sensor_ID" from cams)""",
+    ),
     "q_request_guard": """select o_orderkey as request_id, cast(n - 5 as int) as days,
         10 * 24 * (n - 5) <= 7440 or o_orderstatus = 'P' as allowed, abs(n - 5) <= 30 as overlay_allowed
       from (select *, o_custkey % 51 as n from orders) o""",
@@ -544,6 +558,22 @@ ORACLE = {
             from series group by 1) e on c."sensor_ID" = e."sensor_ID"
           cross join (values ('Road'), ('NAVD88')) v(datum)) d""",
     ),
+    "q_axis_bounds_overlay": _sql(
+        ["series", "constants", "refs"],
+        """select "sensor_ID", d.datum,
+          null::double as y_min,
+          case when n is not null then case when top > lim then top else lim + 0.25 end end as y_max
+        from (
+          select c.*, r.reference_elevation, e.n, e.low, v.datum,
+            case v.datum when 'Road' then c.road_elevation else 0.0 end as zero,
+            case v.datum when 'Road' then 0.0 else c.road_elevation end as lim,
+            case v.datum when 'Road' then e.top_road else e.top_navd end as top
+          from constants c left join refs r on c."sensor_ID" = r."sensor_ID"
+          left join (select "sensor_ID", count(*) as n, max(road_water_level_adj) as top_road,
+            max(sensor_water_level_adj) as top_navd, min(sensor_water_level_adj) as low
+            from series group by 1) e on c."sensor_ID" = e."sensor_ID"
+          cross join (values ('Road'), ('NAVD88')) v(datum)) d""",
+    ),
     "q_ref_lines": _sql(
         ["constants", "refs"],
         f"""select c."sensor_ID", datum, road_elevation - zero as road, sensor_elevation - zero as sensor,
@@ -571,6 +601,16 @@ ORACLE = {
           round(road_water_level_adj, 2) as "water level (ft above or below road elev.)",
           "sensor_ID" || '_20240101_20240131.csv' as file from series""",
     ),
+    "q_download_files": _sql(
+        ["series"],
+        """select strftime(date, '%m/%d/%Y %H:%M') as "timestamp (UTC)",
+          round(sensor_elevation, 2) as "sensor elev. (ft NAVD88)",
+          round(road_elevation, 2) as "road elev. (ft NAVD88)",
+          round(sensor_water_level_adj, 2) as "water level (ft NAVD88)",
+          round(road_water_level_adj, 2) as "water level (ft above or below road elev.)",
+          "sensor_ID" || '_20240101_20240131.csv' as file from series""",
+    ),
+    "q_thirdparty_reversed": _sql(["stored"], "select * from stored"),
     "q_thirdparty_obs": _sql(["stored"], "select * from stored"),
     "q_thirdparty_union": _sql(
         ["newest_surveys", "tide_range", "stored"],
@@ -599,6 +639,7 @@ ORACLE = {
         where api_name = 'FIMAN' and type = 'water_level'""",
     ),
     "q_gauge_key": _sql(["gauge_key"], "select * from gauge_key"),
+    "q_gauge_key_file": _sql(["gauge_key"], "select * from gauge_key"),
     "q_gauge_lookup": _sql(
         ["gauge_key", "newest_surveys"],
         """select "sensor_ID", wl_id, gauge_sensor_id from newest_surveys

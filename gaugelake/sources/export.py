@@ -1,7 +1,8 @@
 """The CSV download: one folder of ordered part files per sensor."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gaugelake.functions.clock import local_midnight
 
@@ -50,3 +51,11 @@ def write_download(series: DataFrame, start, end, path: str) -> None:
         .option("nullValue", "NA")
         .csv(path)
     )
+
+
+def read_download(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of written files, with the file each is in; the order is that of the files' lines."""
+    first, *rest = HEADINGS.values()
+    fields = [StructField(first, StringType()), *(StructField(h, DoubleType()) for h in rest)]
+    schema = StructType([*fields, StructField("file", StringType())])
+    return spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
