@@ -6,9 +6,10 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from gaugelake.operators import latest, segments, series, status, timeline
+from gaugelake.operators import latest, overlays, segments, series, status, timeline
 from gaugelake.plans.catalog import AS_OF, QUERIES
 from gaugelake.schemas import READINGS
+from gaugelake.sources import warehouse
 
 FOLDER = f"{DATA}/sf0.001"
 STREAMED = {"q_stream_latest", "q_stream_status", "q_stream_changes"}
@@ -91,3 +92,46 @@ def test_timeline_shuffles_no_result_rows(lake):
     plan = plan_of(timeline.status_timeline(lake))
     top = plan.split("Join")[0]
     assert "Exchange" not in top
+
+
+@pytest.fixture(scope="module")
+def by_day(spark, lake, tmp_path_factory):
+    """The same readings, and provider rows, in day folders."""
+    root = str(tmp_path_factory.mktemp("days"))
+    lake.withColumn("dt", F.to_date("date")).write.partitionBy("dt").parquet(f"{root}/data_for_display")
+    levels = lake.selectExpr("sensor_ID AS id", "date", "1.0D AS value", "'FIMAN' AS api_name", "'water_level' AS type")
+    levels.withColumn("dt", F.to_date("date")).write.partitionBy("dt").parquet(f"{root}/api_data")
+    for spec in warehouse.TABLES.values():
+        if spec.name not in ("data_for_display", "api_data"):
+            spark.createDataFrame([], spec.schema).write.parquet(f"{root}/{spec.name}")
+    return warehouse.from_parquet(spark, root, partitioned=True)
+
+
+def folders_read(df):
+    """Partition filters of the scans, but for those without any."""
+    return [f for f in re.findall(r"PartitionFilters: \[(.*?)\]", plan_of(df)) if f]
+
+
+def test_ranges_open_only_their_days(lake, by_day):
+    def same(a, b):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+
+    plain, days = (series.sensor_series(r, "2024-01-05", "2024-01-08") for r in (lake, by_day.readings))
+    assert "dt" in folders_read(days)[0]
+    same(plain, days)
+    plain, days = (latest.latest_sensors(r, AS_OF, 5) for r in (lake, by_day.readings))
+    assert all("dt" in f for f in folders_read(days)) and folders_read(days)
+    same(plain, days)
+    plain, days = (latest.newest_rows(r, ["sensor_ID"], "date") for r in (lake, by_day.readings))
+    assert "dt" in folders_read(days)[0]
+    same(plain, days)
+    assert "dt" in folders_read(overlays.provider_observations(by_day.provider, "2024-01-05", "2024-01-08"))[0]
+    plain, days = (status.flood_status(r, AS_OF) for r in (lake, by_day.readings))
+    same(plain, days)
+
+
+def test_a_chart_reads_each_source_once(spark):
+    plan = plan_of(QUERIES["q_chart_series"](spark, FOLDER))
+    assert plan.count("from_json") == 1
+    scans = re.findall(r"Scan parquet.*?lineitem", plan.replace("\n", " "))
+    assert plan.count("lineitem.parquet") <= 2, len(scans)

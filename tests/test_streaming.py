@@ -70,6 +70,23 @@ def test_snapshot_equals_batch_and_ignores_repeats(spark, readings, files, tmp_p
     assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, direct.select(columns).collect()))
 
 
+def test_old_versions_go_and_unfinished_ones_are_ignored(spark, frame, tmp_path):
+    folder, source = tmp_path / "snap", tmp_path / "in"
+    source.mkdir()
+    for n in range(12):
+        frame(READINGS, [dict(sensor_ID="A", date=f"2024-01-01 00:{n:02}:00")]).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        part = next(p for p in (tmp_path / f"p{n}").iterdir() if p.name.endswith(".parquet"))
+        (source / f"{n:02}.parquet").write_bytes(part.read_bytes())
+        os.utime(source / f"{n:02}.parquet", (time.time() - 100 + n, time.time() - 100 + n))
+    stream = stream_of(spark, source)
+    snapshot.maintain_snapshot(stream, str(folder), str(tmp_path / "c"), availableNow=True).awaitTermination()
+    assert snapshot.versions(spark, str(folder)) == [10, 11]
+    assert newest(snapshot.read_snapshot(spark, str(folder), stream.schema)) == [("A", "2024-01-01 00:11:00")]
+    frame(READINGS, [dict(sensor_ID="B", date="2024-01-01 00:30:00")]).write.parquet(str(folder / "batch=12"))
+    (folder / "batch=12" / "_SUCCESS").unlink()
+    assert newest(snapshot.read_snapshot(spark, str(folder), stream.schema)) == [("A", "2024-01-01 00:11:00")]
+
+
 def drained_changes(spark, source, out, check):
     with changes.state_store(spark):
         found = changes.status_changes(source)
