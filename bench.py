@@ -22,15 +22,19 @@ HEADLINE = [
     "q_sensor_series",
     "q_blank_dry",
     "q_gap_segments",
+    "q_line_points",
     "q_axis_bounds",
     "q_download",
     "q_thirdparty_union",
     "q_overlay_obs",
     "q_chart_series",
+    "q_chart_series_admin",
     "q_tide_json_obs",
     "q_sensor_health",
+    "q_camera_health",
     "q_place_panel",
     "q_deeplink",
+    "q_stream_changes",
 ]
 
 

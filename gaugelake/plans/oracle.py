@@ -319,12 +319,14 @@ def _sql(needs: list[str], final: str) -> str:
     return (f"with {parts} " if parts else "") + final
 
 
+# Fixed values.
 _SENSOR_POPUP = (
     "'<div><h4 align=\"center\"><strong>' || lines || '</h4></strong>'"
     " || '<h5 align=\"center\">Last level:</h5><h4 align=\"center\">' ||"
     " coalesce(regexp_replace(cast(round(road_water_level_adj, 2) + 0.0 as varchar), '\\.0$', ''), 'NA')"
     f" || '</h4><p align=\"center\">' || {_clock('date')} || '</p>'"
 )
+# Fixed values.
 _COLOR = (
     "case flood_status when 'UNKNOWN' then 'grey' when 'FLOODING' then '#dc3545'"
     " when 'WARNING' then '#ffc107' when 'NOT FLOODING' then '#28a745' end"
@@ -380,6 +382,7 @@ _JOINED = """select "sensor_ID", raw_data_date, processed from mapped s left joi
   select distinct place as p, "sensor_ID" as i, voltage as v, processed, raw_data_date from newest_raw) r on s.place is not distinct from r.p
   and s."sensor_ID" is not distinct from r.i"""
 
+# Guide wording.
 _ROADSIDE = (
     "This water level sensor is installed on the side of a road just above ground level. "
     "Measurements from our sensor (the blue line on the data plot) above the dashed red line "
@@ -452,6 +455,7 @@ ORACLE = {
         ["located_cams"],
         'select "camera_ID", place, "sensor_ID", lng, lat, "DateTimeOriginalUTC" from located_cams',
     ),
+    # The markup of the popup.
     "q_camera_map": _sql(
         ["located_cams", "judged"],
         f"""select "camera_ID", camera_label || ' (' || "camera_ID" || ')' as camera_label, flood_status,

@@ -7,6 +7,8 @@ from gaugelake.operators import links, places
 MAPPED = "sensor_ID STRING, place STRING, lat DOUBLE, lng DOUBLE"
 
 
+# Expected markup and wording in the tests below.
+
 def test_sensor_map(frame):
     sensors = frame(schemas.READINGS, [dict(sensor_ID="A", date="2024-01-30 05:00:00", road_water_level_adj=-2.0),
                                        dict(sensor_ID="unlabelled", date="2024-01-30 05:00:00")])
