@@ -79,12 +79,14 @@ def _series(w: Warehouse) -> DataFrame:
     return series.sensor_series(w.readings, START, END)
 
 
-def mapped_rows(w: Warehouse, newest: DataFrame | None = None) -> DataFrame:
+def mapped_rows(
+    w: Warehouse, newest: DataFrame | None = None, surveys: DataFrame | None = None
+) -> DataFrame:
     """Labelled map rows of the sensors, from the newest readings where these are known.
 
     What has been found about those (age and status, from ``judge``) stays on the rows.
     """
-    labels = latest.sensor_labels(latest.latest_surveys(w.surveys))
+    labels = latest.sensor_labels(latest.latest_surveys(w.surveys) if surveys is None else surveys)
     if newest is None:
         sensors = latest.latest_sensors(w.readings, AS_OF, LOOKBACK_DAYS)
     else:
@@ -259,9 +261,9 @@ def q_site_notes(w):
 def q_deeplink(spark, sf_dir):
     w = testdata.load(spark, sf_dir)
     parsed = links.parse_links(testdata.links(spark, sf_dir))
-    found = links.resolve_links(
-        parsed, latest.latest_surveys(w.surveys), places.place_view(mapped_rows(w), w.cameras)
-    )
+    surveys = _surveys(w)
+    view = places.place_view(mapped_rows(w, surveys=surveys), w.cameras)
+    found = links.resolve_links(parsed, surveys, view)
     return found.withColumns({"lng": F.round("lng", 6), "lat": F.round("lat", 6)})
 
 
