@@ -21,7 +21,7 @@ place where it stands; its bytes are read there when a shard needs them.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.llm import suffixes
@@ -258,9 +258,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
     several = settle(several.where("a < b").select("h"), "grams")
     shared = settle(_anchors(docs, True).join(several, "h"), "anchors")
     own = F.min(F.struct("k", "place")).alias("own")
-    distinct = settle(shared.groupBy("h", "x").agg(own).select("h", "x", "own.*"), "contexts")
-    counts = distinct.groupBy("h").agg(F.count("*").alias("n"))
-    counted = settle(distinct.join(counts, "h"), "counted")
+    distinct = shared.groupBy("h", "x").agg(own).select("h", "x", "own.*")
+    count = F.count("*").over(Window.partitionBy("h"))
+    counted = settle(distinct.withColumn("n", count), "contexts")
     wanted = counted.where("n > 1").groupBy(F.col("k").alias("of")).agg(
         F.collect_list(F.struct("h", "x", "k", "place")).alias("wanted")
     )
@@ -283,7 +283,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         ).alias("spans")
     )
     same = (F.col("k") == F.col("of")) & (F.col("tie") == F.col("of_tie"))
-    return docs.join(gone, same, "left").select("doc_id", "data", "spans")
+    return docs.join(settle(gone, "spans"), same, "left").select("doc_id", "data", "spans")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
