@@ -10,7 +10,8 @@ may be equal are brought together first, without loss:
    of at most 80 bytes. Equal contexts are one row with the smallest doc_id; copies cost nothing
    further.
 3. A gram with a single context has equal strings only, and nothing is left to compare.
-   Contexts of all other grams are dealt to shards by gram. A shard sorts the suffixes of its
+   Contexts of all other grams are dealt to shards by gram, and those that differ from all
+   others on both sides of the gram are done with. A shard sorts the suffixes of its other
    contexts by external induced sorting; runs of suffixes whose common prefix is at least 50
    are equal strings, and the smallest doc_id of a run is told to all of its contexts.
 4. The strings with a smaller doc_id go back to their documents as spans.
@@ -31,6 +32,8 @@ from gaugelake.settle import settle
 LENGTH, GRAM = 50, 20
 #: Grams in a string.
 SPAN = LENGTH - GRAM + 1
+#: Bytes that a string holds on one side of its gram at least.
+HALF = (LENGTH - GRAM) // 2
 #: Bytes of documents that are hashed at once, and tuples that a shard's queues hold in memory.
 CHUNK, MEMORY = 1 << 16, 1 << 22
 #: Bytes of contexts that a task sorts at once, at most (a gram's contexts stay together).
@@ -168,8 +171,43 @@ def _contexts(found: DataFrame) -> DataFrame:
     return found.select("tie", "data", "wanted").mapInArrow(run, schema)
 
 
+def may_match(h: np.ndarray, contexts: list[bytes]) -> np.ndarray:
+    """Which contexts may share a string with another one of their gram.
+
+    A string holds, beside the gram, at least ``HALF`` bytes before or after it. A context that
+    shares neither these bytes before nor those after with another one shares no string. All
+    contexts of a gram must be given together.
+    """
+    sizes = np.array([len(c) for c in contexts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
+    value = _mixed(gram_hashes(data)).view(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)[: len(value)]
+    place = np.flatnonzero(value[: len(owner)] == h[owner])
+    place = place[place + GRAM <= ends[owner[place]]]
+    of = owner[place]
+    # Where the gram stands more than once, the context is kept.
+    found = np.bincount(of, minlength=len(sizes))
+    kept = found != 1
+    single = found[of] == 1
+    place, of = place[single], of[single]
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    for at, whole in (
+        (place - HALF, place - HALF >= (ends - sizes)[of]),
+        (place + GRAM, place + GRAM + HALF <= ends[of]),
+    ):
+        own, at = of[whole], at[whole]
+        first, second = (words[at + n].view("<u8").ravel() for n in (0, HALF - 8))
+        key = _mixed(_mixed(first) + second * _ODD) ^ h[own].view(np.uint64)
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        kept[own[count[inverse] > 1]] = True
+    return kept
+
+
 def sources(contexts: list[bytes], least: np.ndarray, memory: int = MEMORY) -> list[np.ndarray]:
     """For each context and each string in it, the smallest of ``least`` over equal strings."""
+    if not contexts:
+        return []
     sizes = np.array([len(c) for c in contexts]) + 1
     starts = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"\0".join(contexts) + bytes(suffixes.END), np.uint8)
@@ -210,8 +248,14 @@ def _told(contexts: DataFrame) -> DataFrame:
 
     def shard(rows):
         h, x, least, context = (list(c) for c in zip(*rows, strict=True))
+        kept = may_match(np.array(h), context)
+        compared = iter(sources([c for c, k in zip(context, kept, strict=True) if k], np.array(least)[kept]))
         runs = []
-        for found in sources(context, np.array(least, np.int64)):
+        for own, size, k in zip(least, map(len, context), kept, strict=True):
+            if not k:
+                runs.append([{"at": 0, "to": size - LENGTH + 1, "source": own}])
+                continue
+            found = next(compared)
             cuts = np.flatnonzero(np.diff(found)) + 1
             bounds = [0, *cuts.tolist(), len(found)]
             runs.append(
