@@ -186,11 +186,9 @@ def may_match(h: np.ndarray, contexts: list[bytes]) -> np.ndarray:
     place = np.flatnonzero(value[: len(owner)] == h[owner])
     place = place[place + GRAM <= ends[owner[place]]]
     of = owner[place]
-    # Where the gram stands more than once, the context is kept.
-    found = np.bincount(of, minlength=len(sizes))
-    kept = found != 1
-    single = found[of] == 1
-    place, of = place[single], of[single]
+    # Where the gram stands more than once, the context is kept, and others may match it at
+    # any of these places.
+    kept = np.bincount(of, minlength=len(sizes)) != 1
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     for at, whole in (
         (place - HALF, place - HALF >= (ends - sizes)[of]),

@@ -207,6 +207,23 @@ def test_strings_of_one_byte_length_matter(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 50, 5: 50}
 
 
+@pytest.mark.parametrize("size", [21, 23, 27, 30])
+def test_periodic_strings_of_unequal_length(spark, size):
+    """A context that holds its gram once and one that holds it again have strings in common."""
+    rng = random.Random(size)
+    fresh = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    texts = []
+    for _ in range(20):
+        phrase = fresh(size) * 5
+        pair = [fresh(40) + phrase[: size + 35] + fresh(40), fresh(40) + phrase + fresh(40)]
+        texts += pair if rng.random() < 0.5 else pair[::-1]
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicated(table).collect()}
+    want = plain_removal([(n, t.encode()) for n, t in rows])
+    assert got == {n: w[1] for n, w in enumerate(want)}
+
+
 # Embeddings
 
 
