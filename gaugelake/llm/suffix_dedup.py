@@ -13,7 +13,9 @@ may be equal are brought together first, without loss:
    Contexts of all other grams are dealt to shards by gram, and those that differ from all
    others on both sides of the gram are done with. A shard sorts the suffixes of its other
    contexts by external induced sorting; runs of suffixes whose common prefix is at least 50
-   are equal strings, and the smallest doc_id of a run is told to all of its contexts.
+   are equal strings, and the smallest doc_id of a run is told to all of its contexts. A gram
+   with very many contexts would be too much for one shard: the strings of its contexts are
+   dealt out one by one, by gram and a hash of the whole string, and compared by an aggregation.
 4. The strings with a smaller doc_id go back to their documents as spans.
 
 Up to step 3, a context is known by two 64-bit hashes, of its gram and of its bytes, and by one
@@ -22,7 +24,7 @@ place where it stands; its bytes are read there when a shard needs them.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.llm import suffixes
@@ -36,8 +38,10 @@ SPAN = LENGTH - GRAM + 1
 HALF = (LENGTH - GRAM) // 2
 #: Bytes of documents that are hashed at once, and tuples that a shard's queues hold in memory.
 CHUNK, MEMORY = 1 << 16, 1 << 22
-#: Bytes of contexts that a task sorts at once, at most (a gram's contexts stay together).
+#: Bytes of contexts that a task sorts at once (a gram's contexts stay together).
 SHARD = 4 << 20
+#: A gram with more contexts than this (of 80 bytes each at most) isn't sorted in one shard.
+MANY = 1 << 14
 
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -241,29 +245,28 @@ def sources(contexts: list[bytes], least: np.ndarray, memory: int = MEMORY) -> l
 
 
 def _told(contexts: DataFrame) -> DataFrame:
-    """Contexts (h, x, least, context), together by h, to rows (h, x, runs of sources)."""
+    """Contexts (h, x, least, context), together by h, to rows (h, x, runs of smaller sources)."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32()), ("source", pa.int64())]))
 
     def shard(rows):
         h, x, least, context = (list(c) for c in zip(*rows, strict=True))
-        kept = may_match(np.array(h), context)
-        compared = iter(sources([c for c, k in zip(context, kept, strict=True) if k], np.array(least)[kept]))
-        runs = []
-        for own, size, k in zip(least, map(len, context), kept, strict=True):
-            if not k:
-                runs.append([{"at": 0, "to": size - LENGTH + 1, "source": own}])
-                continue
-            found = next(compared)
+        kept = np.flatnonzero(may_match(np.array(h), context)).tolist()
+        out = ([], [], [])
+        compared = sources([context[n] for n in kept], np.array(least)[kept])
+        for n, found in zip(kept, compared, strict=True):
             cuts = np.flatnonzero(np.diff(found)) + 1
             bounds = [0, *cuts.tolist(), len(found)]
-            runs.append(
-                [
-                    {"at": a, "to": b, "source": int(found[a])}
-                    for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-                ]
-            )
+            runs = [
+                {"at": a, "to": b, "source": int(found[a])}
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+                if found[a] < least[n]
+            ]
+            if runs:
+                for column, value in zip(out, (h[n], x[n], runs), strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), kind]
         return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(x, pa.int64()), pa.array(runs, kind)], ["h", "x", "runs"]
+            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "x", "runs"]
         )
 
     def run(batches):
@@ -283,7 +286,51 @@ def _told(contexts: DataFrame) -> DataFrame:
     return dealt.select("h", "x", "least", "context").mapInArrow(run, schema)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
+def string_hashes(contexts: list[bytes]):
+    """The strings of contexts: number of the context, place in it, and hash of the 50 bytes."""
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    value = gram_hashes(data)
+    # Three grams cover a string.
+    count = len(data) - LENGTH + 1
+    whole = np.zeros(count, np.uint64)
+    for n in (0, HALF, LENGTH - GRAM):
+        whole = _mixed(whole * _ODD + value[n : n + count])
+    strings = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    return owner, at, whole[(np.cumsum(sizes) - sizes)[owner] + at]
+
+
+def _told_by_string(contexts: DataFrame) -> DataFrame:
+    """As ``_told``, with the strings of a gram in as many tasks as there are.
+
+    Strings that contexts of one document hold only are dropped by an aggregation, so what is
+    joined is what repeats.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for n in range(0, batch.num_rows, 4096):
+                h, x, least, context = batch.slice(n, 4096).columns
+                owner, at, s = string_hashes(context.to_pylist())
+                own = [pa.array(c.to_numpy()[owner]) for c in (h, x, least)]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(at, pa.int32()), pa.array(s.view(np.int64))],
+                    ["h", "x", "least", "at", "s"],
+                )
+
+    schema = "h long, x long, least long, at int, s long"
+    strings = contexts.select("h", "x", "least", "context").mapInArrow(run, schema)
+    strings = settle(strings, "strings")
+    several = strings.groupBy("h", "s").agg(F.min("least").alias("source"), F.max("least").alias("b"))
+    several = several.where("source < b").drop("b")
+    found = strings.join(several, ["h", "s"]).where("source < least")
+    one = F.struct("at", (F.col("at") + 1).alias("to"), "source")
+    return found.select("h", "x", F.array(one).alias("runs"))
+
+
+def with_spans(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Documents (doc_id, text) to rows (doc_id, data, spans): bytes, and spans that go.
 
     ``spans`` (start, end) may overlap and may be null. Null texts are empty. A null doc_id is
@@ -301,16 +348,24 @@ def with_spans(docs: DataFrame) -> DataFrame:
     shared = settle(_anchors(docs, True).join(several, "h"), "anchors")
     own = F.min(F.struct("k", "place")).alias("own")
     distinct = shared.groupBy("h", "x").agg(own).select("h", "x", "own.*")
-    count = F.count("*").over(Window.partitionBy("h"))
-    counted = settle(distinct.withColumn("n", count), "contexts")
-    wanted = counted.where("n > 1").groupBy(F.col("k").alias("of")).agg(
-        F.collect_list(F.struct("h", "x", "k", "place")).alias("wanted")
-    )
-    compared = settle(_told(_contexts(docs.join(wanted, F.col("k") == F.col("of")))), "compared")
+    distinct = settle(distinct, "contexts")
+    counts = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+
+    def cut(grams):
+        wanted = distinct.join(grams.select("h"), "h").groupBy(F.col("k").alias("of")).agg(
+            F.collect_list(F.struct("h", "x", "k", "place")).alias("wanted")
+        )
+        return _contexts(docs.join(wanted, F.col("k") == F.col("of")))
+
+    few = counts.where(F.col("n") <= many)
+    compared = settle(_told(cut(few)), "compared")
+    if not counts.where(F.col("n") > many).isEmpty():
+        hot = settle(_told_by_string(cut(counts.where(F.col("n") > many))), "compared")
+        compared = compared.unionByName(hot)
+    # Within a context, all copies take from the smallest doc_id that holds it.
     size = F.shiftright("place", TIE_BITS).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
     run = F.struct(F.lit(0).alias("at"), (size + 1).alias("to"), F.col("k").alias("source"))
-    alone = counted.where("n = 1").select("h", "x", F.array(run).alias("runs"))
-    told = alone.unionByName(compared)
+    told = distinct.select("h", "x", F.array(run).alias("runs")).unionByName(compared)
     gone = shared.join(told, ["h", "x"]).select("k", "place", F.explode("runs").alias("r"))
     first = F.shiftright("place", TIE_BITS + SIZE_BITS)
     gone = gone.where("r.source < k").groupBy(
@@ -328,7 +383,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     return docs.join(settle(gone, "spans"), same, "left").select("doc_id", "data", "spans")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, many: int = MANY) -> DataFrame:
     """Documents (doc_id, text) to what is left of each.
 
     Columns: doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the remaining
@@ -361,4 +416,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return with_spans(docs).mapInArrow(run, schema)
+    return with_spans(docs, many).mapInArrow(run, schema)

@@ -224,6 +224,23 @@ def test_periodic_strings_of_unequal_length(spark, size):
     assert got == {n: w[1] for n, w in enumerate(want)}
 
 
+@pytest.mark.parametrize("many", [1, 20])
+def test_hot_grams_are_dealt_out(spark, repeated, many):
+    """Contexts of a gram that many documents hold are compared string by string."""
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    line, sides = fresh(35), [fresh(30) for _ in range(6)]
+    hot = [fresh(50) + rng.choice(sides)[-n:] + line + rng.choice(sides)[:n] + fresh(50) for n in range(31) for _ in range(3)]
+    table = spark.createDataFrame([(1000 + n, t) for n, t in enumerate(hot)], "doc_id long, text string")
+    table = table.unionByName(repeated.select("doc_id", "text"))
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in table.collect()]
+    want = plain_removal([(-(1 << 63) if i is None else i, d) for i, d in rows])
+    got = suffix_dedup.deduplicated(table, many=many).collect()
+    found = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got]
+    assert Counter(found) == Counter((i, *w) for (i, _), w in zip(rows, want, strict=True))
+    assert any(w[1] for (i, _), w in zip(rows, want, strict=True) if i is not None and i >= 1000)
+
+
 # Embeddings
 
 
