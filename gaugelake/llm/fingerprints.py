@@ -6,7 +6,8 @@ powers of two. The order of pieces doesn't matter, and adding or taking away a p
 updates a fingerprint. The vector has two parts: ``WIDE`` dense lanes, which tell whether
 two multisets are equal, and groups of sparse lanes, of which a piece touches one. How many
 sparse lanes differ estimates how many pieces differ; each group holds a quarter of the
-pieces of the group before it, so that one of them suits a text of any length.
+pieces of the group before it. The last one holds one of four million pieces, so that one of
+them suits a text of any length that a string can have.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ WIDE = 4
 WIDE_BITS = 60
 LANES = 32
 LANE_BITS = 16
-GROUPS = 5
+GROUPS = 12
 #: Documents that are put in order together, and the most groups of them.
 ROWS = 4096
 MOST_BUCKETS = 10_000
@@ -48,21 +49,24 @@ def vector(hashes: Column) -> Column:
             for n in range(WIDE)
         )
     )
+    zeros = F.array_repeat(F.lit(0).cast("long"), LANES)
     groups = []
     for group in range(GROUPS):
         own = F.filter(hashes, lambda h: _bits(h, 40, 2 * group) == 0) if group else hashes
         # The lambda must not see the filter, or each lane would run it again.
         lanes = F.transform(
             F.array(own),
-            lambda own: F.transform(
-                F.sequence(F.lit(0), F.lit(LANES - 1)),
-                lambda lane: _total(
-                    own,
-                    lambda h: F.when(
-                        _bits(h, 0, 5) == lane, _bits(h, 8, LANE_BITS).bitwiseOR(F.lit(1))
-                    ).otherwise(F.lit(0).cast("long")),
-                    LANE_BITS,
-                ),
+            lambda own: F.when(F.size(own) == 0, zeros).otherwise(
+                F.transform(
+                    F.sequence(F.lit(0), F.lit(LANES - 1)),
+                    lambda lane: _total(
+                        own,
+                        lambda h: F.when(
+                            _bits(h, 0, 5) == lane, _bits(h, 8, LANE_BITS).bitwiseOR(F.lit(1))
+                        ).otherwise(F.lit(0).cast("long")),
+                        LANE_BITS,
+                    ),
+                )
             ),
         )
         groups.append(lanes[0])

@@ -310,3 +310,16 @@ def test_order_and_increments(spark):
         fingerprints.added(F.col("a"), F.col("c"), -1).alias("rest"),
     ).first()
     assert got["sum"] == vec[0] and got["rest"] == vec[2]
+
+
+def test_likeness_of_very_long_texts(spark):
+    """Texts of several MB that share 0.6 of their pieces don't look unrelated."""
+    a = ", ".join(f"clause number {n}" for n in range(240_000))
+    b = ", ".join(f"clause number {n}" for n in range(60_000, 300_000))
+    c = ", ".join(f"other clause {n}" for n in range(240_000))
+    table = spark.createDataFrame([(a, b, c)], "a string, b string, c string")
+    vecs = table.select(*(fingerprints.vector(fingerprints.pieces(F.col(n))).alias(n) for n in "abc"))
+    near = fingerprints.likeness(F.col("a"), F.col("b")).alias("near")
+    far = fingerprints.likeness(F.col("a"), F.col("c")).alias("far")
+    row = vecs.select(near, far).first()
+    assert len(a) > 4_000_000 and 0.35 < row["near"] < 0.85 and row["far"] < 0.3
