@@ -410,6 +410,23 @@ def test_every_id_is_scored_once(spark):
         assert math.isclose(got[n], want, rel_tol=1e-3, abs_tol=1e-3)
 
 
+def test_all_ids_are_trained_on(spark):
+    """Rows of the model that only the later parts of a long text use are learnt as well."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 9, 3000)
+    words = lm.Vocabulary(counts, np.arange(3000))
+    size = attention.ROWS
+    long = np.concatenate([rng.permutation(3000), rng.integers(0, 3000, 5000)])
+    texts = [long, *(rng.integers(0, 3000, n) for n in (0, 1, attention.WINDOW, attention.WINDOW + 1))]
+    seen = Counter(y for _, part in lm.windows(texts, words, 2999) for y in part.ravel().tolist() if y >= 0)
+    assert seen == Counter(words.column[np.concatenate(texts)].tolist())
+    tables = attention.Tables(np.bincount(words.column, counts, size), *rng.integers(0, 3, (2, size, size)))
+    rows = spark.createDataFrame([(False, long.astype("<u2").tobytes())], "held_out boolean, ids binary")
+    got = lm.train(rows, words, spark.sparkContext.broadcast(tables), 2999)
+    changed = (got["embed"] != attention.initial(tables)["embed"]).any(axis=1)
+    assert changed[np.unique(words.column[long[:-1]])].all()
+
+
 # Queries and pipeline
 
 
