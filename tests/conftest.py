@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from gaugelake.session import build_session  # noqa: E402
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark():

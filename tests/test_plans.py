@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import DATA
+from data import DATA
 from pyspark.sql import functions as F
 
 from gaugelake.operators import latest, overlays, segments, series, status, timeline

@@ -7,7 +7,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from data import DATA
 
 import __spark_entry__ as entry_file
 from gaugelake.plans.catalog import QUERIES

@@ -6,7 +6,7 @@ import time
 from random import Random
 
 import pytest
-from conftest import DATA
+from data import DATA
 from pyspark.sql import functions as F
 
 from gaugelake.operators import latest, status, timeline
