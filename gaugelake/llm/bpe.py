@@ -4,47 +4,22 @@ Vocabularies are read where the tasks run, from a path that every machine has; n
 trained. A rank file becomes a BPE model whose merges are all the ways in which a token splits
 into two others, in the order of the token's rank.
 
-Texts are never encoded as one string. The pattern never matches across the place where a white
-space character follows another character, or a mark like a comma a letter, so a text is cut
-there, and each distinct segment is encoded once per worker while it stays in a bounded memory.
-Very long texts cost no more memory than their ids.
+Under a pattern that never matches across the place where a white space character follows another
+character, or a mark like a comma a letter, texts are cut there, and each distinct segment is encoded
+once per worker while it stays in a bounded memory (``segments``). Under any other pattern a text is
+encoded as a whole.
 """
 
 import base64
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-#: White space of Unicode.
-SPACE = (
-    "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-)
-#: Letters that are letters in every version of Unicode, and marks that never follow them in a match.
-LETTER, MARK = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", ".,;:|!?&$%*#"
-SEGMENT = re.compile(
-    f"[{SPACE}]*[{LETTER}]+(?![^{SPACE}{MARK}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
-)
-#: A segment that is a single match of the pattern.
-WORD = re.compile(f" ?[{LETTER}]+")
-#: Segments that a worker remembers, in each of two generations.
-MEMORY = 150_000
-#: Characters that go through the tokenizer at once.
-AT_ONCE = 1 << 18
-
-
-def byte_table() -> list[str]:
-    """The character that stands for each byte: itself if it is printed, else the next free one."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in shown)}
-    return [chr(hidden.get(b, b)) for b in range(256)]
-
-
-SHOWN = str.maketrans({chr(b): c for b, c in enumerate(byte_table())})
+from gaugelake.llm.segments import Encoder, as_bytes, byte_table, portions, spread
 
 
 @lru_cache(maxsize=4)
@@ -79,52 +54,16 @@ def from_file(path: str) -> Tokenizer:
     return made
 
 
-class Encoder:
-    """Texts to ids, as the bytes of little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer: Tokenizer, memory: int = MEMORY):
-        self.tokenizer, self.model, self.memory = tokenizer, tokenizer.model, memory
-        self.new, self.old = {}, {}
-
-    def encode(self, text: str | None) -> bytes:
-        segments = SEGMENT.findall(text or "")
-        return b"".join(
-            b"".join(self._of(segments[n : n + AT_ONCE])) for n in range(0, len(segments), AT_ONCE)
-        )
-
-    def _of(self, segments):
-        new, old = self.new, self.old
-        missing = []
-        for s in set(segments):
-            if s not in new:
-                if s in old:
-                    new[s] = old[s]
-                else:
-                    missing.append(s)
-        rest = []
-        for s in missing:
-            if WORD.fullmatch(s):
-                shown = s.encode().decode("latin-1").translate(SHOWN)
-                new[s] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            else:
-                rest.append(s)
-        if rest:
-            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            new.update((s, array("I", e.ids).tobytes()) for s, e in zip(rest, found, strict=True))
-        ids = [new[s] for s in segments]
-        if len(new) > self.memory:
-            self.old, self.new = new, {}
-        return ids
-
-
 @lru_cache(maxsize=4)
 def rank_encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(from_ranks(path, pattern))
+    """An encoder by ranks; texts are cut only under the pattern that is known to allow it."""
+    return Encoder(from_ranks(path, pattern), cut=pattern == public_tokenizers.PATTERN)
 
 
 @lru_cache(maxsize=4)
-def file_encoder(path: str) -> Encoder:
-    return Encoder(from_file(path))
+def file_encoder(path: str, lower: bool = False) -> Encoder:
+    """An encoder by a tokenizer's own file, which matches by letters, digits, marks and white space."""
+    return Encoder(from_file(path), lower=lower)
 
 
 @lru_cache(maxsize=4)
@@ -155,6 +94,17 @@ def offsets(ids: np.ndarray, lengths: np.ndarray, data: bytes):
     return char[starts], char[ends - 1] + 1, ~lead[starts] | ~lead[ends]
 
 
+def _binary(data: np.ndarray, places: np.ndarray) -> pa.Array:
+    """Values that follow one another; a portion of texts is far below the 2 GB of such a column."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data.tobytes())]
+    )
+
+
+def _lists(values: np.ndarray, places: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(values, pa.int64()))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False) -> DataFrame:
     """Documents (doc_id, text) to rows with ids and the decoded bytes.
 
@@ -171,23 +121,29 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False
         encoder = rank_encoder(path, pattern)
         table = token_bytes(encoder.tokenizer)
         lengths = np.fromiter(map(len, table), np.int64, len(table))
+        firsts, letters = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            # A few rows at a time, so that long texts don't pile up.
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                rows = []
-                for text in texts:
-                    ids = encoder.encode(text)
-                    found = np.frombuffer(ids, "<u4")
-                    starts, ends, split = offsets(found, lengths, (text or "").encode())
-                    more = (starts, ends) if with_offsets else ()
-                    rows.append((ids, decode(found, table), int(split.sum()), *more))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.binary(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 2]
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+            # Some rows at a time, so that long texts don't pile up.
+            for at, size in portions(batch.column(1)):
+                part = batch.slice(at, size)
+                data, _ = as_bytes(part.column(1))
+                ids, places = encoder.encode_column(part.column(1))
+                ends = np.append(0, np.cumsum(lengths[ids]))
+                decoded = letters[spread(firsts[ids], lengths[ids])]
+                starts, stops, split = offsets(ids, lengths, data)
+                splits = np.append(0, np.cumsum(split))
+                arrays = [
+                    part.column(0),
+                    _binary(ids.astype("<u4").view(np.uint8), places * 4),
+                    _binary(decoded, ends[places]),
+                    pa.array(np.diff(splits[places])),
+                ]
+                if with_offsets:
+                    lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                    base = np.repeat(lead[ends[places[:-1]]], np.diff(places))
+                    arrays += [_lists(starts - base, places), _lists(stops - base, places)]
                 names = ["doc_id", "ids", "decoded", "n_split", "starts", "ends"]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names[: len(arrays) + 1])
+                yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugelake.llm import bpe
+from gaugelake.llm.segments import portions
 from gaugelake.settle import fresh_path
 
 #: Ids in a word and bits of each, by selector; fixed values of the Simple-8b code.
@@ -46,12 +47,19 @@ def _choose(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             widest = np.maximum(widest[: len(widest) - step], widest[step:])
             span += step
         best[widest[:size] <= BITS[selector]] = selector
-    ahead = COUNTS[best].tolist()
-    starts, at = [], 0
+    # Words begin at 0 and wherever the word before ends. Jumps over 2, 4, ... words come by
+    # doubling; only every 64th word is walked to.
+    jumps = [np.append(np.minimum(np.arange(size) + COUNTS[best], size), size)]
+    for _ in range(5):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, walked, at = jumps[-1][jumps[-1]].tolist(), [], 0
     while at < size:
-        starts.append(at)
-        at += ahead[at]
-    starts = np.array(starts, dtype=np.int64)
+        walked.append(at)
+        at = far[at]
+    starts = np.array(walked, dtype=np.int64)
+    for over in reversed(jumps):
+        starts = np.stack([starts, over[starts]], axis=1).ravel()
+    starts = starts[starts < size]
     return starts, best[starts]
 
 
@@ -134,12 +142,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
 
     def run(batches):
         encoder = bpe.file_encoder(tokenizer)
-        last = np.array([end], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         names, lengths, held, size = [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             columns = ([part], [seq], [len(ids)], [names], [lengths], [pack(ids)])
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
@@ -149,12 +156,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
         longs = pa.list_(pa.int64())
         kinds = [pa.int32(), pa.int32(), pa.int64(), longs, longs, pa.binary()]
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py()) + last
-                names.append(doc_id.as_py())
-                lengths.append(len(ids) // 4)
-                held.append(ids)
-                size += len(ids) // 4
+            for at, count in portions(batch.column(1), ROW):
+                some = batch.slice(at, count)
+                ids, places = encoder.encode_column(some.column(1))
+                names += some.column(0).to_pylist()
+                lengths += (np.diff(places) + 1).tolist()
+                # One end id after each document.
+                held.append(np.insert(ids, places[1:], np.uint32(end)))
+                size += len(held[-1])
                 if size >= ROW:
                     yield row()
                     names, lengths, held, size, seq = [], [], [], 0, seq + 1
