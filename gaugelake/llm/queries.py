@@ -9,6 +9,7 @@ from gaugelake.llm import (
     embedding_dedup,
     fingerprints,
     lm,
+    manifest,
     mixing,
     pii,
     quality,
@@ -89,6 +90,21 @@ def op10_lm(spark, sf_dir):
     return lm.score(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir, *manifest.FIELDS)
+    rows = manifest.manifest(docs, {"tampered": manifest.tampered()})
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        manifest.proof(F.col("path")).alias("proof_sha256"),
+        root.alias("folded_root"),
+        (root == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -100,6 +116,7 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_token_files": op9_token_files,
     "op10_lm": op10_lm,
+    "op11_manifest": op11_manifest,
 }
 
 ORACLE: dict[str, str] = {
