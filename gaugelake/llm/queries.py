@@ -11,6 +11,7 @@ from gaugelake.llm import (
     lm,
     manifest,
     mixing,
+    packing,
     pii,
     quality,
     simhash,
@@ -105,6 +106,12 @@ def op11_manifest(spark, sf_dir):
     )
 
 
+def op13_packing(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return rows.withColumn("length", F.col("length").cast("long"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -117,6 +124,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_lm": op10_lm,
     "op11_manifest": op11_manifest,
+    "op13_packing": op13_packing,
 }
 
 ORACLE: dict[str, str] = {
