@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.llm import (
     bpe,
+    conversations,
     embedding_dedup,
     fingerprints,
     lm,
@@ -106,6 +107,14 @@ def op11_manifest(spark, sf_dir):
     )
 
 
+def op12_conversations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = conversations.Repair(rows)
+    digests = found.digests().withColumnRenamed("conv_id", "_conv")
+    every = found.audits.join(digests, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return every.select(*found.audits.columns, "repaired_sha256")
+
+
 def op13_packing(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
     rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -124,6 +133,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_lm": op10_lm,
     "op11_manifest": op11_manifest,
+    "op12_conversations": op12_conversations,
     "op13_packing": op13_packing,
 }
 
