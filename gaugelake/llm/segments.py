@@ -8,6 +8,7 @@ UTF-8 bytes all the way, so memory is a few times that of the texts given at onc
 """
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,8 @@ class Encoder:
     def __init__(self, tokenizer: Tokenizer, cut=True, lower=False, memory=MEMORY):
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.cut, self.lower, self.memory = cut, lower, memory
-        self.bits = max(10, int(2 * memory).bit_length())
+        # A slice of texts comes on top of what is remembered; half the places stay free.
+        self.bits = int(2 * (memory + AT_ONCE)).bit_length()
         self._forget()
 
     def _forget(self):
@@ -110,8 +112,23 @@ class Encoder:
         self.keys, self.codes = np.zeros((size, 3), np.uint64), np.full(size, -1, np.int32)
         self.long = {}
         self.first, self.length, self.known = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.hits = np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(4096, np.uint32), 0
 
+    def _shrink(self):
+        """Forget what was seen least since the last time, the larger half at least, and all long ones."""
+        at = np.flatnonzero(self.codes >= 0)
+        codes, least = self.codes[at], 2
+        while np.count_nonzero(self.hits[codes] >= least) > self.memory // 2:
+            least *= 2
+        at = at[self.hits[codes] >= least]
+        key, codes = self.keys[at], self.codes[at]
+        lengths = self.length[codes]
+        ids = self.ids[spread(self.first[codes], lengths)]
+        self._forget()
+        self._keep(ids, lengths)
+        self._put(key, self._slots(key), np.arange(len(codes)))
+
     def encode(self, text: str | None) -> bytes:
         """The ids of one text, as little-endian unsigned 32-bit integers."""
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -133,8 +150,9 @@ class Encoder:
             lengths = self.length[codes]
             ids.append(self.ids[spread(self.first[codes], lengths)])
             counts.append(lengths)
+            self.hits += np.bincount(codes, minlength=len(self.hits))
             if self.known > self.memory or self.used > IDS:
-                self._forget()
+                self._shrink()
         before = np.cumsum(np.concatenate(counts))
         ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
         return ids, before[np.searchsorted(starts, places)]
@@ -202,9 +220,6 @@ class Encoder:
 
     def _put(self, key, slot, codes):
         left, at = np.arange(len(key)), slot
-        # A slice never holds more segments than half the table's free places, or it isn't kept.
-        if self.known > self.memory + AT_ONCE // 2:
-            return
         while left.size:
             free = self.codes[at] < 0
             self.codes[at[free]] = codes[left[free]]
@@ -214,13 +229,13 @@ class Encoder:
 
     def _learn(self, segments):
         """Encode segments and keep their ids, in order, under the next codes."""
-        texts = [s.decode() for s in segments]
+        texts, tokenize = [s.decode() for s in segments], self.model.tokenize
         made, rest = [None] * len(texts), []
         for n, text in enumerate(texts):
             if self.cut and WORD.fullmatch(text):
                 word = text.lstrip(" ").lower() if self.lower else text
                 shown = word.encode().decode("latin-1").translate(_SHOWN)
-                made[n] = [t.id for t in self.model.tokenize(shown)]
+                made[n] = [t.id for t in tokenize(shown)]
             else:
                 rest.append(n)
         for at in range(0, len(rest), 4096):
@@ -229,13 +244,15 @@ class Encoder:
             for n, e in zip(some, found, strict=True):
                 made[n] = e.ids
         lengths = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(lengths.sum()))
-        known, used = self.known + len(made), self.used + len(flat)
+        self._keep(np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum())), lengths)
+
+    def _keep(self, ids, lengths):
+        known, used = self.known + len(lengths), self.used + len(ids)
         self.first, self.length = _room(self.first, known), _room(self.length, known)
-        self.ids = _room(self.ids, used)
+        self.hits, self.ids = _room(self.hits, known), _room(self.ids, used)
         self.first[self.known : known] = self.used + np.cumsum(lengths) - lengths
         self.length[self.known : known] = lengths
-        self.ids[self.used : used] = flat
+        self.ids[self.used : used] = ids
         self.known, self.used = known, used
 
 
