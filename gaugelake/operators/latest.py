@@ -19,7 +19,7 @@ from gaugelake.settle import settle
 from gaugelake.sources.warehouse import DAY, on_days
 
 
-def _rows_at(df: DataFrame, instants: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def rows_at(df: DataFrame, instants: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Rows of ``df`` at the given (key, instant) pairs, plus further columns of ``instants``."""
     seen = Observation()
     instants = settle(instants.observe(seen, F.min(F.unix_micros(ts)).alias("oldest")), "newest")
@@ -39,7 +39,7 @@ def _rows_at(df: DataFrame, instants: DataFrame, keys: list[str], ts: str) -> Da
 def newest_rows(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """All rows at each key's newest instant."""
     newest = df.groupBy(*keys).agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull())
-    return _rows_at(df, newest, keys, ts)
+    return rows_at(df, newest, keys, ts)
 
 
 def newest_ranked(df: DataFrame, keys: list[str], ts: str, n: int) -> DataFrame:
@@ -57,7 +57,7 @@ def newest_ranked(df: DataFrame, keys: list[str], ts: str, n: int) -> DataFrame:
         .groupBy(*keys, ts)
         .agg(F.min("rnk").alias("rnk"))
     )
-    return _rows_at(df, heads, keys, ts)
+    return rows_at(df, heads, keys, ts)
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugelake.functions.text import glue
 from gaugelake.operators import (
+    day_summary,
     health,
     latest,
     links,
@@ -20,12 +21,13 @@ from gaugelake.operators import (
     series,
     status,
     timeline,
+    timeline_store,
 )
 from gaugelake.schemas import LOOKBACK_DAYS
 from gaugelake.settle import fresh_path, settle
-from gaugelake.sources import export, gauge_key, payloads, testdata
+from gaugelake.sources import days, export, gauge_key, payloads, testdata
 from gaugelake.sources.warehouse import Warehouse, water_levels
-from gaugelake.streaming import changes, snapshot
+from gaugelake.streaming import change_log, counts, snapshot
 
 AS_OF = "2024-01-30 23:59:00"
 # The longest range that may be charted with overlays; it spans the tables.
@@ -554,11 +556,92 @@ def q_stream_status(spark, sf_dir):
     return judged.select("sensor_ID", "time_since_measurement", "flood_status")
 
 
+def _drained_log(readings: DataFrame, folder: str) -> DataFrame:
+    checkpoint = fresh_path(readings.sparkSession, "stream")
+    change_log.maintain_changes(readings, folder, checkpoint, availableNow=True).awaitTermination()
+    return change_log.ChangeLog(readings.sparkSession, folder).read()
+
+
 @session_query
 def q_stream_changes(spark, sf_dir):
-    out, checkpoint = fresh_path(spark, "changes"), fresh_path(spark, "stream")
-    with changes.state_store(spark):
-        found = changes.status_changes(_event_stream(spark, sf_dir))
-        sink = found.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        sink.trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    return _drained_log(_event_stream(spark, sf_dir), fresh_path(spark, "changes"))
+
+
+#: A moment in the middle of the record.
+MIDDLE = "2024-01-16 00:00:00"
+
+
+@session_query
+def q_stream_changes_resumed(spark, sf_dir):
+    """A stream that starts in the middle of the record, from the timeline of what came before."""
+    folder = fresh_path(spark, "changes")
+    log = change_log.ChangeLog(spark, folder)
+    log.begin(testdata.load(spark, sf_dir).readings, MIDDLE)
+    return _drained_log(_event_stream(spark, sf_dir).where(F.col("date") >= MIDDLE), folder)
+
+
+@session_query
+def q_stream_counts(spark, sf_dir):
+    """Every reading is delivered twice."""
+    folder, checkpoint = fresh_path(spark, "counts"), fresh_path(spark, "stream")
+    twice = _event_stream(spark, sf_dir).unionByName(_event_stream(spark, sf_dir))
+    counts.maintain_counts(twice, folder, checkpoint, availableNow=True).awaitTermination()
+    return counts.read_counts(spark, folder)
+
+
+# Day folders
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> str:
+    """The readings in day folders and their summary; those with an odd minute come later.
+
+    The late ones fall on days that are already there and summarised.
+    """
+    root = fresh_path(spark, "lake")
+    readings = testdata.load(spark, sf_dir).readings
+    odd = F.minute("date") % 2 == 1
+    days.deliver(readings.where(~odd), root, "readings")
+    day_summary.refresh(spark, root)
+    days.deliver(readings.where(odd), root, "readings", replace=False)
+    day_summary.refresh(spark, root)
+    return root
+
+
+@session_query
+def q_flood_status_days(spark, sf_dir):
+    """The flood status from the summary and the days of the newest readings."""
+    return day_summary.flood_status(spark, _delivered(spark, sf_dir), AS_OF)
+
+
+@session_query
+def q_top3_days(spark, sf_dir):
+    top = day_summary.top_readings(spark, _delivered(spark, sf_dir))
+    return top.select("sensor_ID", "date", "rnk")
+
+
+@session_query
+def q_redelivered_days(spark, sf_dir):
+    """Days delivered again replace themselves only; a range then reads its own days.
+
+    The second delivery holds the days from the middle on, with the voltage a tenth higher.
+    """
+    root = fresh_path(spark, "lake")
+    readings = testdata.load(spark, sf_dir).readings
+    days.deliver(readings, root, "readings")
+    better = readings.where(F.col("date") >= MIDDLE)
+    days.deliver(better.withColumn("voltage", F.round(F.col("voltage") + 0.1, 2)), root, "readings")
+    kept = series.sensor_series(days.read_days(spark, root, "readings"), "2024-01-14", "2024-01-20")
+    return kept.select("sensor_ID", "date", F.round("voltage", 2).alias("voltage"))
+
+
+@session_query
+def q_timeline_days(spark, sf_dir):
+    """The status timeline after three appended stretches."""
+    readings = testdata.load(spark, sf_dir).readings
+    store = timeline_store.TimelineStore(spark, fresh_path(spark, "timeline"))
+    begin = None
+    for end in ("2024-01-12", "2024-01-24", "2024-03-01"):
+        part = readings.where(F.col("date") < end)
+        store.append(part if begin is None else part.where(F.col("date") >= begin), end)
+        begin = end
+    return store.read()

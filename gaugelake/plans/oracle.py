@@ -698,4 +698,26 @@ ORACLE = {
     "q_stream_changes": _sql(
         ["statuses_begun"], 'select "sensor_ID", at_ as "at", flood_status from statuses_begun'
     ),
+    "q_stream_changes_resumed": _sql(
+        ["statuses_begun"],
+        """select "sensor_ID", at_ as "at", flood_status from statuses_begun
+        where at_ >= timestamp '2024-01-16'""",
+    ),
+    "q_stream_counts": _sql(
+        ["display"],
+        """select "sensor_ID", count(*) as n, min(date) as first_ts, max(date) as last_ts
+        from (select distinct * from display) d group by 1""",
+    ),
+    "q_redelivered_days": _sql(
+        ["display"],
+        """select "sensor_ID", date,
+          round(voltage + case when date >= timestamp '2024-01-16' then 0.1::double else 0 end, 2) as voltage
+        from display where qa_qc_flag = false
+          and date >= timestamp '2024-01-14 05:00:00' and date < timestamp '2024-01-20 05:00:00'""",
+    ),
 }
+
+# What is kept beside day folders gives the results of a search through everything.
+ORACLE["q_flood_status_days"] = ORACLE["q_flood_status"]
+ORACLE["q_top3_days"] = ORACLE["q_top3"]
+ORACLE["q_timeline_days"] = ORACLE["q_status_timeline"]

@@ -48,18 +48,21 @@ def _timed(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.where(F.col(spec.instant).isNotNull())
 
 
+def read_table(spark: SparkSession, root: str, role: str, partitioned: bool = False) -> DataFrame:
+    """One table below ``root``, by its role in ``Warehouse``; ``partitioned`` as in ``from_parquet``."""
+    spec = TABLES[role]
+    days = f", {DAY} DATE" if partitioned and spec.instant else ""
+    return _timed(spark.read.schema(spec.schema + days).parquet(f"{root}/{spec.name}"), spec)
+
+
 def from_parquet(spark: SparkSession, root: str, partitioned: bool = False) -> Warehouse:
     """Open ``root/<table>`` for each table.
 
     ``partitioned`` says that timed tables are laid out in folders ``dt=<day>``, the UTC or the
-    local day of their instant. Range filters then prune folders, see ``on_days``.
+    local day of their instant (``sources.days`` writes UTC days). Range filters then prune
+    folders, see ``on_days``.
     """
-
-    def table(spec: TableSpec) -> DataFrame:
-        days = f", {DAY} DATE" if partitioned and spec.instant else ""
-        return spark.read.schema(spec.schema + days).parquet(f"{root}/{spec.name}")
-
-    return Warehouse(**{role: _timed(table(spec), spec) for role, spec in TABLES.items()})
+    return Warehouse(**{role: read_table(spark, root, role, partitioned) for role in TABLES})
 
 
 def on_days(df: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def versions(spark: SparkSession, folder: str) -> list[int]:
     )
 
 
-def _version(spark: SparkSession, folder: str, schema: StructType, number: int) -> DataFrame:
+def version(spark: SparkSession, folder: str, schema: StructType, number: int) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/batch={number}")
 
 
@@ -55,10 +55,10 @@ def read_snapshot(spark: SparkSession, folder: str, schema: StructType) -> DataF
     It stays readable until two more batches have been committed.
     """
     found = versions(spark, folder)
-    return _version(spark, folder, schema, found[-1]) if found else spark.createDataFrame([], schema)
+    return version(spark, folder, schema, found[-1]) if found else spark.createDataFrame([], schema)
 
 
-def _remove(spark: SparkSession, folder: str, below: int) -> None:
+def remove_below(spark: SparkSession, folder: str, below: int) -> None:
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for number in versions(spark, folder):
@@ -78,10 +78,10 @@ def maintain_snapshot(
     def upsert(changed: DataFrame, batch: int) -> None:
         session = changed.sparkSession
         base = max(v for v in versions(session, folder) if v < batch)
-        kept = _version(session, folder, schema, base)
+        kept = version(session, folder, schema, base)
         merged = newest_per_sensor(kept.unionByName(changed))
         merged.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
-        _remove(session, folder, below=base)
+        remove_below(session, folder, below=base)
 
     return (
         newest_per_sensor(readings)
