@@ -25,7 +25,7 @@ from gaugelake.operators import (
 )
 from gaugelake.schemas import LOOKBACK_DAYS
 from gaugelake.settle import fresh_path, settle
-from gaugelake.sources import days, export, gauge_key, payloads, testdata
+from gaugelake.sources import days, export, gauge_key, landed, payloads, testdata
 from gaugelake.sources.warehouse import Warehouse, water_levels
 from gaugelake.streaming import change_log, counts, snapshot
 
@@ -405,6 +405,44 @@ def q_gauge_xml(w):
     return payloads.gauge_rows(testdata.gauge_payloads(w.provider))
 
 
+def _landed(spark: SparkSession, documents: DataFrame) -> str:
+    root = fresh_path(spark, "landed")
+    landed.write_documents(documents, root)
+    return root
+
+
+def _tide_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = testdata.tide_day_payloads(testdata.load(spark, sf_dir).provider)
+    return landed.read_documents(spark, _landed(spark, answers))
+
+
+@session_query
+def q_tide_files(spark, sf_dir):
+    """Answers written as files and read as documents; the request comes from the path."""
+    return payloads.tide_rows(_tide_files(spark, sf_dir), "obs", "pred")
+
+
+@session_query
+def q_tide_file_rejects(spark, sf_dir):
+    rejects = landed.tide_file_rejects(_tide_files(spark, sf_dir))
+    return rejects.groupBy("id", "type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _gauge_files(spark: SparkSession, sf_dir: str) -> str:
+    return _landed(spark, testdata.gauge_day_payloads(testdata.load(spark, sf_dir).provider))
+
+
+@session_query
+def q_gauge_files(spark, sf_dir):
+    return landed.gauge_file_rows(spark, _gauge_files(spark, sf_dir))
+
+
+@session_query
+def q_gauge_file_rejects(spark, sf_dir):
+    rejects = landed.gauge_file_rejects(spark, _gauge_files(spark, sf_dir))
+    return rejects.groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @session_query
 def q_gauge_key(spark, sf_dir):
     return gauge_key.parse_gauge_key(testdata.gauge_key_lines(spark, sf_dir))

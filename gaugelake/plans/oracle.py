@@ -646,7 +646,7 @@ ORACLE = {
     "q_gauge_key_file": _sql(["gauge_key"], "select * from gauge_key"),
     "q_gauge_lookup": _sql(
         ["gauge_key", "newest_surveys"],
-        """select "sensor_ID", wl_id, gauge_sensor_id from newest_surveys
+        """select distinct "sensor_ID", wl_id, gauge_sensor_id from newest_surveys
         join gauge_key on site_id = wl_id and "Sensor" = 'Water Elevation'""",
     ),
     "q_overlay_meta": _sql(["meta"], "select * from meta"),
@@ -708,6 +708,29 @@ ORACLE = {
         """select "sensor_ID", count(*) as n, min(date) as first_ts, max(date) as last_ts
         from (select distinct * from display) d group by 1""",
     ),
+    "q_tide_files": _sql(
+        ["api"],
+        """select id, case when type = 'water_level' then 'obs' else 'pred' end as type, date, value as level,
+          case when type = 'water_level' then 'NOAA Observed' else 'NOAA Predictions' end as entity,
+          case when type = 'water_level' then 'observation' else 'prediction' end as notes
+        from api where id not in ('8', '9')""",
+    ),
+    "q_tide_file_rejects": _sql(
+        ["api"],
+        """select id, case when type = 'water_level' then 'obs' else 'pred' end as type,
+          case id when '8' then 'unreadable' else 'empty' end as reason, count(distinct date_trunc('day', date)) as n
+        from api where id in ('8', '9') group by 1, 2, 3""",
+    ),
+    "q_gauge_files": _sql(
+        ["api"],
+        """select id, date, value as level, 'FIMAN' as entity, 'observation' as notes
+        from api where api_name = 'FIMAN' and type = 'water_level' and id <> '8'""",
+    ),
+    "q_gauge_file_rejects": _sql(
+        ["api"],
+        """select id, 'unreadable' as reason, count(distinct date_trunc('day', date)) as n
+        from api where api_name = 'FIMAN' and type = 'water_level' and id = '8' group by 1""",
+    ),
     "q_redelivered_days": _sql(
         ["display"],
         """select "sensor_ID", date,

@@ -22,6 +22,11 @@ def water_elevation_keys(key: DataFrame) -> DataFrame:
 
 
 def gauge_lookup(key: DataFrame, surveys: DataFrame) -> DataFrame:
-    """The water-elevation key of the gauge each survey names."""
-    keys = water_elevation_keys(key).select(F.col("site_id").alias("wl_id"), "gauge_sensor_id")
-    return surveys.join(keys, "wl_id").select("sensor_ID", "wl_id", "gauge_sensor_id")
+    """The water-elevation key of the gauge each survey names, each fact once.
+
+    Both sides are reduced first: copies of tied surveys and of key rows don't multiply.
+    """
+    keys = water_elevation_keys(key).select(F.col("site_id").alias("wl_id"), "gauge_sensor_id").distinct()
+    return surveys.select("sensor_ID", "wl_id").distinct().join(keys, "wl_id").select(
+        "sensor_ID", "wl_id", "gauge_sensor_id"
+    )

@@ -5,7 +5,7 @@ answers. Unreadable numbers and times become NULL. Answers without a single row
 error for the others: ``tide_rejects`` lists them.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.schemas import GAUGE_XML, TIDE_JSON
@@ -25,9 +25,10 @@ def asked_between(payloads: DataFrame, first, last) -> DataFrame:
     )
 
 
-def _tide_points(payloads: DataFrame) -> DataFrame:
+def tide_points(payloads: DataFrame, answer: Column | None = None) -> DataFrame:
     """Each answer's list of the kind it was asked for; a document is parsed once."""
-    answer = F.from_json("payload", TIDE_JSON)
+    if answer is None:
+        answer = F.from_json("payload", TIDE_JSON)
     points = F.lit(None)
     for kind, (field, _, _) in TIDE_KINDS.items():
         points = F.when(F.col("type") == kind, F.col("answer")[field]).otherwise(points)
@@ -47,7 +48,7 @@ def tide_rows(payloads: DataFrame, *kinds: str) -> DataFrame:
         name: F.coalesce(*(F.when(F.col("type") == k, TIDE_KINDS[k][n]) for k in kinds))
         for n, name in ((1, "entity"), (2, "notes"))
     }
-    rows = _each(_tide_points(payloads.where(F.col("type").isin(list(kinds)))), F.col("points"))
+    rows = _each(tide_points(payloads.where(F.col("type").isin(list(kinds)))), F.col("points"))
     return rows.select(
         "id",
         "type",
@@ -61,15 +62,20 @@ def tide_rows(payloads: DataFrame, *kinds: str) -> DataFrame:
 def tide_rejects(payloads: DataFrame, kind: str) -> DataFrame:
     """Answers that hold no rows ("No data available")."""
     rows = F.coalesce(F.size("points"), F.lit(0))
-    asked = _tide_points(payloads.where(F.col("type") == kind))
+    asked = tide_points(payloads.where(F.col("type") == kind))
     return asked.where(rows <= 0).select("id", "type", "payload")
 
 
 def gauge_rows(payloads: DataFrame, entity: str = "FIMAN") -> DataFrame:
     """Readings of the state gauge network's XML answers."""
     answer = F.from_xml("payload", GAUGE_XML)
+    return gauge_points(payloads, answer["response"]["general"], entity)
+
+
+def gauge_points(answers: DataFrame, points: Column, entity: str = "FIMAN") -> DataFrame:
+    """One row for each reading in the lists of gauge answers."""
     return (
-        _each(payloads, answer["response"]["general"])
+        _each(answers, points)
         .select(
             "id",
             F.try_to_timestamp(F.col("point.data_time"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("date"),

@@ -214,6 +214,38 @@ def gauge_payloads(provider: DataFrame) -> DataFrame:
     )
 
 
+def _by_day(provider: DataFrame, kind: str) -> DataFrame:
+    """Provider rows gathered by station, kind and day."""
+    point = F.struct(F.date_format("date", "yyyy-MM-dd HH:mm").alias("t"), F.col("value").cast("string").alias("v"))
+    days = provider.groupBy("id", F.expr(kind).alias("type"), F.to_date("date").alias("first_day"))
+    return days.agg(F.sort_array(F.collect_list(point)).alias("points")).withColumn("last_day", F.col("first_day"))
+
+
+def tide_day_payloads(provider: DataFrame) -> DataFrame:
+    """Tide answers of a whole day. Those of id 9 come back empty, those of id 8 cut short."""
+    rows = _by_day(provider, "CASE WHEN type = 'water_level' THEN 'obs' ELSE 'pred' END")
+    text = F.when(F.col("type") == "obs", F.to_json(F.struct(F.col("points").alias("data"))))
+    text = text.otherwise(F.to_json(F.struct(F.col("points").alias("predictions"))))
+    text = F.when(F.col("id") == "9", '{"error": {"message": "No data was found."}}').otherwise(text)
+    text = F.when(F.col("id") == "8", text.substr(F.lit(1), F.length(text) - 5)).otherwise(text)
+    return rows.select("id", "type", text.alias("payload"), "first_day", "last_day")
+
+
+def gauge_day_payloads(provider: DataFrame) -> DataFrame:
+    """State gauge answers of a whole day; those of id 8 end within the answer."""
+    rows = _by_day(provider.where("api_name = 'FIMAN' AND type = 'water_level'"), "'obs'")
+    points = F.transform(
+        "points",
+        lambda p: F.concat(
+            F.lit("<general><data_time>"), p["t"], F.lit(":00</data_time><data_value>"), p["v"],
+            F.lit("</data_value></general>"),
+        ),
+    )
+    text = F.concat(F.lit("<onerain><response>"), F.array_join(points, ""), F.lit("</response></onerain>"))
+    text = F.when(F.col("id") == "8", F.replace(text, F.lit("</data_time>"), F.lit(""))).otherwise(text)
+    return rows.select("id", "type", text.alias("payload"), "first_day", "last_day")
+
+
 def gauge_key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauge-key lines from the suppliers; every tenth line is empty."""
     return _open(spark, sf_dir, "supplier", SUPPLIER).selectExpr(

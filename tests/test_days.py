@@ -1,0 +1,260 @@
+"""Day folders, what is kept beside them, and streams that build on tables."""
+
+import os
+import re
+import time
+from random import Random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gaugelake.operators import day_summary, latest, status, timeline, timeline_store
+from gaugelake.operators.timeline import statuses_begun
+from gaugelake.schemas import READINGS
+from gaugelake.sources import days
+from gaugelake.streaming import change_log, counts
+
+NOW = "2024-01-06 12:00:00"
+
+
+def reading(sensor, date, level=0.0, **more):
+    return dict(sensor_ID=sensor, date=date, sensor_water_level_adj=level, alert_threshold=1.0, road_elevation=2.0, **more)
+
+
+def record(seed=1, sensors="ABC", first=1, last=6):
+    """Readings of some days with bursts, ties, copies and silences; C falls silent early."""
+    random, rows = Random(seed), []
+    for sensor in sensors:
+        for day in range(first, last if sensor != "C" else first + 1):
+            for _ in range(random.randrange(4, 9)):
+                at = f"2024-01-{day:02} {random.randrange(24):02}:{random.choice([0, 0, 7, 30]):02}:00"
+                rows.append(reading(sensor, at, random.choice([0.0, 1.5, 2.5, None])))
+                rows += [dict(rows[-1])] * random.randrange(2)
+                rows += [dict(rows[-1], sensor_water_level_adj=1.2)] * random.randrange(2)
+    return rows
+
+
+def files_of(folder):
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        if name.startswith("dt="):
+            found[name] = sorted(f for f in os.listdir(f"{folder}/{name}") if f.endswith(".parquet"))
+    return found
+
+
+def told(df):
+    return sorted(map(repr, df.collect()))
+
+
+def folders_read(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [f for f in re.findall(r"PartitionFilters: \[(.*?)\]", plan) if f]
+
+
+def test_a_day_delivered_again_replaces_itself_only(spark, frame, tmp_path):
+    root = str(tmp_path)
+    days.deliver(frame(READINGS, record()), root, "readings")
+    before = files_of(f"{root}/data_for_display")
+    assert list(before) == [f"dt=2024-01-{d:02}" for d in range(1, 6)]
+    again = frame(READINGS, [reading("A", "2024-01-03 10:00:00", 9.0), reading("A", None)])
+    for _ in range(2):  # a repeated delivery changes nothing more
+        days.deliver(again, root, "readings")
+        after = files_of(f"{root}/data_for_display")
+        assert [d for d in before if before[d] != after[d]] == ["dt=2024-01-03"]
+        third = days.read_days(spark, root, "readings").where("dt = '2024-01-03'").collect()
+        assert [(r["sensor_ID"], r["sensor_water_level_adj"]) for r in third] == [("A", 9.0)]
+    days.deliver(again, root, "readings", replace=False)
+    assert days.read_days(spark, root, "readings").where("dt = '2024-01-03'").count() == 2
+    days.deliver(frame(READINGS, []), root, "readings")
+    assert days.read_days(spark, root, "readings").where("dt = '2024-01-03'").count() == 2
+    with pytest.raises(ValueError):
+        days.deliver(frame(READINGS, []), root, "cameras")
+
+
+def test_columns_beyond_the_schema_are_left_out(spark, frame, tmp_path):
+    rows = frame(READINGS, [reading("A", "2024-01-03 23:59:59")]).withColumn("dt", F.lit("clash"))
+    days.deliver(rows, str(tmp_path), "readings")
+    assert [str(r["dt"]) for r in days.read_days(spark, str(tmp_path), "readings").collect()] == ["2024-01-03"]
+
+
+def by_summary(spark, root):
+    top = day_summary.top_readings(spark, root).select("sensor_ID", "date", "rnk")
+    return told(day_summary.flood_status(spark, root, NOW)), told(top)
+
+
+def by_search(df):
+    top = latest.newest_ranked(df.select("sensor_ID", "date"), ["sensor_ID"], "date", 3)
+    return told(status.flood_status(df, NOW)), told(top)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_summary_gives_what_a_search_gives(spark, frame, tmp_path, seed):
+    root = str(tmp_path)
+    rows = record(seed) + [reading(None, "2024-01-02 01:00:00"), reading(None, "2024-01-02 01:00:00", 3.0)]
+    late = [r for n, r in enumerate(rows) if n % 3 == 0]
+    days.deliver(frame(READINGS, [r for n, r in enumerate(rows) if n % 3]), root, "readings")
+    day_summary.refresh(spark, root)
+    kept = files_of(f"{root}/data_for_display_newest")
+    # Late readings of one old day, and a sensor that has its only readings there.
+    late_day = [r for r in late if r["date"].startswith("2024-01-02")] + [reading("D", "2024-01-02 05:00:00", 1.5)] * 4
+    days.deliver(frame(READINGS, late_day), root, "readings", replace=False)
+    assert [str(d) for d in day_summary.refresh(spark, root)] == ["2024-01-02"]
+    now = files_of(f"{root}/data_for_display_newest")
+    assert [d for d in kept if kept[d] != now[d]] == ["dt=2024-01-02"]
+    days.deliver(frame(READINGS, [r for r in late if not r["date"].startswith("2024-01-02")]), root, "readings", replace=False)
+    day_summary.refresh(spark, root)
+    everything = days.read_days(spark, root, "readings").drop("dt")
+    assert everything.count() == len(rows) + 4
+    assert by_summary(spark, root) == by_search(everything)
+    assert day_summary.refresh(spark, root) == []
+
+
+def test_a_refresh_in_the_middle_of_a_delivery_is_made_good(spark, frame, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    write = days.write_days
+    monkeypatch.setattr(days, "write_days", lambda *a, **k: (day_summary_of_nothing(spark, root), write(*a, **k)))
+    days.deliver(frame(READINGS, record()), root, "readings")
+    day_summary.refresh(spark, root)
+    assert by_summary(spark, root) == by_search(days.read_days(spark, root, "readings").drop("dt"))
+
+
+def day_summary_of_nothing(spark, root):
+    """A refresh that takes the notes up before their rows are there."""
+    os.makedirs(f"{root}/data_for_display", exist_ok=True)
+    day_summary.refresh(spark, root)
+
+
+def test_only_days_of_the_newest_instants_are_opened(spark, frame, tmp_path):
+    root = str(tmp_path)
+    days.deliver(frame(READINGS, record()), root, "readings")
+    day_summary.refresh(spark, root)
+    plan = day_summary.flood_status(spark, root, NOW)
+    assert all("dt" in f for f in folders_read(plan)) and len(folders_read(plan)) == 1
+    # C's newest day is the first, the others' the fifth: days three and so on stay closed.
+    wanted = re.findall(r"dt#\d+ IN \((.*?)\)", folders_read(plan)[0])[0]
+    assert "2024-01-03" not in wanted and "2024-01-01" in wanted and "2024-01-05" in wanted
+    with pytest.raises(ValueError):
+        day_summary.ranked_instants(day_summary.read_summary(spark, root), 4)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_appended_days_equal_the_timeline(spark, frame, tmp_path, seed):
+    rows = record(seed)
+    df = frame(READINGS, rows + [reading(None, "2024-01-02 00:00:00")])
+    store = timeline_store.TimelineStore(spark, str(tmp_path))
+    assert store.read().count() == 0
+    for day in range(1, 6):
+        label = f"2024-01-{day:02}"
+        before = files_of(f"{tmp_path}/intervals") if day > 1 else {}
+        store.append(df.where(F.to_date("date") == label), label)
+        if day == 3:  # the newest day once more
+            store.append(df.where(F.to_date("date") == label), label)
+        assert {d: f for d, f in files_of(f"{tmp_path}/intervals").items() if d in before} == before
+        so_far = timeline.status_timeline(df.where(F.to_date("date") <= label))
+        assert told(store.read()) == told(so_far)
+    # An append that failed before its last instants were written doesn't count.
+    whole = told(store.read())
+    store.append(frame(READINGS, [reading("A", "2024-01-09 00:00:00")]), "2024-01-09")
+    os.remove(f"{tmp_path}/last/dt=2024-01-09/_SUCCESS")
+    assert told(store.read()) == whole
+
+
+def as_files(spark, frame, rows, folder, parts):
+    folder.mkdir()
+    rows = sorted(rows, key=lambda r: r["date"])
+    size = -(-len(rows) // parts)
+    for n in range(parts):
+        out = folder.parent / f"{folder.name}-part{n}"
+        frame(READINGS, rows[n * size : (n + 1) * size]).coalesce(1).write.parquet(str(out))
+        made = next(p for p in out.iterdir() if p.name.endswith(".parquet"))
+        (folder / f"{n}.parquet").write_bytes(made.read_bytes())
+        os.utime(folder / f"{n}.parquet", (time.time() - 100 + n, time.time() - 100 + n))
+    return spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def drained(stream, folder, **more):
+    change_log.maintain_changes(stream, f"{folder}/log", f"{folder}/check", availableNow=True, **more).awaitTermination()
+    return change_log.ChangeLog(stream.sparkSession, f"{folder}/log")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_change_log_equals_the_timeline(spark, frame, tmp_path, parts):
+    rows = record(5) + [reading(None, "2024-01-02 00:00:00")]
+    log = drained(as_files(spark, frame, rows, tmp_path / "in", parts), tmp_path)
+    table = frame(READINGS, rows)
+    newest = max(r["date"] for r in rows)
+    whole = statuses_begun(timeline.status_timeline(table))
+    mark = F.date_trunc("minute", F.lit(newest).cast("timestamp") - F.expr("INTERVAL 10 minutes"))
+    # Readings behind the mark only; what they lead to from there on is not told yet.
+    expected = told(statuses_begun(timeline.status_timeline(table.where(F.col("date") < mark))).where(F.col("at") < mark))
+    assert told(log.read()) == expected and len(expected) > 30
+    assert set(expected) <= set(told(whole))
+    # The same batch again writes the same.
+    last = change_log.versions(spark, log.state)[-1]
+    log.extend(table.where("false"), last, "10 minutes", 40, 180)
+    assert change_log.versions(spark, log.state)[-1] == last
+
+
+def test_change_log_from_the_middle(spark, frame, tmp_path):
+    rows = record(7)
+    table = frame(READINGS, rows)
+    whole = drained(as_files(spark, frame, rows, tmp_path / "all", 2), tmp_path / "a").read()
+    since = "2024-01-03 00:00:00"
+    change_log.ChangeLog(spark, f"{tmp_path}/b/log").begin(table, since)
+    later = [r for r in rows if r["date"] >= since]
+    log = drained(as_files(spark, frame, later, tmp_path / "later", 3), tmp_path / "b")
+    assert told(log.read()) == told(whole.where(F.col("at") >= since))
+    log.begin(table, "2024-01-04 00:00:00")  # an existing log stays
+    assert told(log.read()) == told(whole.where(F.col("at") >= since))
+
+
+def test_change_log_without_rows(spark, frame, tmp_path):
+    stream = as_files(spark, frame, [], tmp_path / "in", 1)
+    assert drained(stream, tmp_path).read().count() == 0
+
+
+def test_change_log_drops_late_rows_and_runs_no_python(spark, frame, tmp_path):
+    rows = [reading("A", "2024-01-01 00:00:00"), reading("A", "2024-01-01 05:00:00", 2.5), reading("B", "2024-01-02 00:00:00")]
+    log = change_log.ChangeLog(spark, str(tmp_path))
+    log.begin()
+    log.extend(frame(READINGS, rows), 0, "10 minutes", 40, 180)
+    before = told(log.read())
+    log.extend(frame(READINGS, [reading("A", "2024-01-01 01:00:00", 2.5)]), 1, "10 minutes", 40, 180)
+    assert told(log.read()) == before
+    assert [r["flood_status"] for r in log.read().where("sensor_ID = 'A'").orderBy("at").collect()] == [
+        "NOT FLOODING", "UNKNOWN", "FLOODING", "UNKNOWN",
+    ]
+
+
+def test_a_hot_sensor_is_spread_over_tasks(spark):
+    """A year of one sensor, a reading a minute: no task orders more than some of its hours."""
+    facts = spark.range(60 * 24 * 365).selectExpr(
+        "'A' AS sensor_ID", "timestampadd(MINUTE, CAST(id AS INT), TIMESTAMP '2023-01-01') AS date",
+        "id % 7 = 0 AS alert", "id % 11 = 0 AS road",
+    )
+    pairs = facts.groupBy("sensor_ID", "date").agg(F.collect_set(F.struct("alert", "road")).alias("pairs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = timeline.with_next(pairs, "sensor_ID", "date")
+        sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 60 * 24 * 365 and max(sizes) < sum(sizes) // 4
+
+
+def test_counts_ignore_what_comes_again(spark, frame, tmp_path):
+    rows = [r for r in record(3) if r["sensor_ID"] != "C"]
+    table = frame(READINGS, rows)
+    folder, check, source = str(tmp_path / "counts"), str(tmp_path / "check"), tmp_path / "in"
+
+    def drain(stream):
+        counts.maintain_counts(stream, folder, check, availableNow=True).awaitTermination()
+        return told(counts.read_counts(spark, folder))
+
+    assert counts.read_counts(spark, folder).count() == 0
+    expected = told(counts.counted(table.distinct()))
+    stream = as_files(spark, frame, rows, source, 3)
+    assert drain(stream) == expected
+    for n in range(3):  # every file comes again, the last two days' rows within the watermark
+        (source / f"again{n}.parquet").write_bytes((source / f"{n}.parquet").read_bytes())
+    assert drain(stream) == expected
