@@ -352,6 +352,16 @@ def q_download_files(spark, sf_dir):
     return export.read_download(spark, path)
 
 
+@session_query
+def q_named_files(spark, sf_dir):
+    """One file per sensor under its exact name: the numbered lines and their times."""
+    path = fresh_path(spark, "named")
+    export.write_named_download(_series(testdata.load(spark, sf_dir)), START, END, path)
+    lines = export.read_named_lines(spark, path).where("line > 0")
+    time = F.substring_index("text", ",", 1)
+    return lines.select("file", "line", time.alias("time"))
+
+
 # Third-party levels
 
 

@@ -614,6 +614,12 @@ ORACLE = {
           round(road_water_level_adj, 2) as "water level (ft above or below road elev.)",
           "sensor_ID" || '_20240101_20240131.csv' as file from series""",
     ),
+    "q_named_files": _sql(
+        ["series"],
+        """select "sensor_ID" || '_20240101_20240131.csv' as file,
+          cast(row_number() over (partition by "sensor_ID" order by date) as int) as line,
+          strftime(date, '%m/%d/%Y %H:%M') as time from series""",
+    ),
     "q_thirdparty_reversed": _sql(["stored"], "select * from stored"),
     "q_thirdparty_obs": _sql(["stored"], "select * from stored"),
     "q_thirdparty_union": _sql(

@@ -1,10 +1,11 @@
-"""The CSV download: one folder of ordered part files per sensor."""
+"""The CSV download: one folder of ordered part files per sensor, or one file under its own name."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gaugelake.functions.clock import local_midnight
+from gaugelake.sources.named_files import write_named
 
 # Column headings of the exported file.
 HEADINGS = {
@@ -53,6 +54,31 @@ def write_download(series: DataFrame, start, end, path: str) -> None:
     )
 
 
+def write_named_download(series: DataFrame, start, end, path: str) -> None:
+    """Write one file per sensor below ``path``, named as the download is, rows in time order.
+
+    A sensor's file is written by one task, which streams its sorted rows; for very long series
+    ``write_download`` cuts files into parts. Nothing is seen before all files are whole. A sensor's
+    readings without a name (NULL) are left out.
+    """
+    line = F.to_csv(F.struct(*_exported_columns()), {"nullValue": "NA"})
+    rows = series.where("sensor_ID IS NOT NULL").select(export_name(start, end).alias("file"), "date", line.alias("line"))
+    dealt = rows.repartition("file").sortWithinPartitions("file", "date", "line")
+    header = ",".join(HEADINGS.values())
+    write_named(dealt, path, header)
+
+
+def read_named_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of named files with their number: rows (file, line, text), the header being line 0.
+
+    Files are read whole, so this is for checks of downloads, not for tables.
+    """
+    texts = spark.read.text(path, wholetext=True)
+    name = F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -1)
+    lines = F.split(F.regexp_replace("value", "\\n\\z", ""), "\n")
+    return texts.select(name.alias("file"), F.posexplode(lines).alias("line", "text"))
+
+
 def read_download(spark: SparkSession, path: str) -> DataFrame:
     """Rows of written files, with the file each is in; the order is that of the files' lines."""
     first, *rest = HEADINGS.values()
