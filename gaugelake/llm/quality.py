@@ -10,6 +10,7 @@ classes' log densities, each from a Mahalanobis distance by the cached factor.
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,10 +209,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows whose text scores at least ``threshold``, with all their columns."""
-    rows = settle(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), "stats")
-    model = fit(rows, labels)
-    names = docs.columns
+    """Rows whose text scores at least ``threshold``, with all their columns.
+
+    Texts are read once: rows are written with their statistics, from which the model is learnt and
+    by which they are kept; only statistics go to Python again. Null and empty texts are scored as an
+    empty text. Repeated rows are kept or go alike; rows without doc_id are scored like any other.
+    An empty table stays empty, and without labels of both kinds every score is a half.
+    """
     inside = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    found = scored(with_statistics(inside), model).where(F.col("score") >= threshold)
-    return found.select(*(F.col("row").getField(n).alias(n) for n in names))
+    rows = settle(with_statistics(inside).select("row", "stats"), "rows-stats")
+    model = fit(rows.select("row.doc_id", "stats"), labels)
+
+    @F.pandas_udf("double")
+    def scores(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(stats.tolist(), dtype=float).reshape(-1, N_STATS)))
+
+    kept = rows.where(scores("stats") >= threshold)
+    return kept.select(*(F.col("row").getField(n).alias(n) for n in docs.columns))

@@ -224,9 +224,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     be told apart and stay.
     """
     found = near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(settle(kept, "kept"), F.col("doc_id") == F.col("__kept"), "left_semi")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = named.withColumn("__place", order).where("__place = 1").drop("__place")
+    kept = settle(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    # The rows travel as one column, so that theirs can have any names.
+    rows = docs.where("doc_id is not null").select("doc_id", F.struct("*").alias("row"), F.col("text").alias("tie"))
+    named = rows.join(kept, "doc_id", "left_semi")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
+    named = named.withColumn("place", order).where("place = 1")
+    named = named.select(*(F.col("row").getField(n).alias(n) for n in docs.columns))
     return named.unionByName(docs.where("doc_id is null"))
-

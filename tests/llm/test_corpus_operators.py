@@ -434,7 +434,7 @@ def test_queries_and_pipeline_are_registered():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(entry.oracle_sql())
 
 
@@ -468,6 +468,34 @@ def test_pipeline(spark):
     assert Counter(whole) == Counter(tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in last)
 
 
+def test_pipeline_stages_on_odd_tables(spark, repeated, docs, nothing):
+    """Nulls, empty texts, repeated rows, clashing columns and empty tables go through every stage."""
+    folder = f"{DATA}/sf0.001"
+    (_, good), (_, distinct), (_, private), (_, mixed), (_, tokens) = corpus_pipeline.STAGES
+    clash = {"row": "text", "stats": "text", "__place": "doc_id", "__kept": "doc_id", "place": "doc_id", "tie": "text", "score": "doc_id"}
+    odd = repeated.withColumns({name: F.col(of) for name, of in clash.items()})
+    rows = Counter(odd.collect())
+    kept = good(spark, odd, folder)
+    assert kept.columns == odd.columns and set(kept.collect()) <= set(rows)
+    one = distinct(spark, odd, folder)
+    found = one.collect()
+    assert one.columns == odd.columns and set(found) <= set(rows)
+    ids = [r["doc_id"] for r in found if r["doc_id"] is not None]
+    assert len(ids) == len(set(ids)) and sum(r["doc_id"] is None for r in found) == 2
+    blank = [r["doc_id"] for r in found if r["doc_id"] is not None and not (r["text"] or "").split()]
+    assert len(blank) == 1
+    assert [r["doc_id"] for r in found].count(3) == 1 and not set(ids) & {47, 48, 49, 50, 51}
+    hidden = private(spark, odd, folder)
+    assert hidden.columns == odd.columns and hidden.count() == odd.count()
+    assert Counter(r["doc_id"] for r in hidden.collect() if r["text"] is None) == Counter(r["doc_id"] for r in odd.collect() if r["text"] is None)
+    mix = mixed(spark, odd, folder)
+    assert mix.columns == odd.columns and max(Counter(mix.collect()).values()) <= 3 * max(rows.values())
+    last = tokens(spark, odd, folder)
+    assert last.count() == odd.count() and {r["n_tokens"] for r in last.where("doc_id in (40, 41)").collect()} == {0}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, folder).count() == 0
+
+
 def test_mixing_equals_its_sql(spark):
     import duckdb
 
