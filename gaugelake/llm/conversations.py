@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugelake.llm.manifest import crc32_sql
 from gaugelake.llm.ranks import in_order
 from gaugelake.settle import settle
 
@@ -308,3 +309,86 @@ def _edited(batches, heads: bool = False):
                     yield conv, nth, role if edit == "K" else ROLES[write], text, edit
                     state, nth = NEXT[state][write], nth + 1
                 yield from inserted()
+
+
+def _sql() -> str:
+    """The repair in DuckDB's SQL: costs to go from each conversation's end, then a walk from its start."""
+
+    def ways(state):
+        after = NEXT[state][WRITTEN[state]]
+        keep = " ".join(f"when initial = '{i}' then c{to} + extra" for i, to in NEXT[state].items())
+        return (
+            f"c{state} + {DELETE} as d{state}, "
+            f"case when bad then {FAR} else c{after} + extra + {REROLE} end as r{state}, "
+            f"case when bad then {FAR} {keep} else {FAR} end as k{state}"
+        )
+
+    best = ", ".join(f"least(d{s}, r{s}, k{s}) as b{s}" for s in range(4))
+    near = {USER: ASSISTANT, ASSISTANT: USER}
+    final = [f"least(b{s}, {INSERT} + {f'b{near[s]}' if s in near else f'least(b{USER}, {INSERT} + b{ASSISTANT})'})" for s in range(4)]
+    edits = [
+        f"case when d{s} = n{s} then 'D' when n{NEXT[s][WRITTEN[s]]} + {INSERT} = n{s} then 'I' "
+        f"when k{s} = n{s} then 'K' else 'R' end"
+        for s in range(4)
+    ]
+    one_of = lambda name: f"case state {' '.join(f'when {s} then {name}{s}' for s in range(4))} end"
+    written = f"case state {' '.join(f'when {s} then {chr(39)}{WRITTEN[s]}{chr(39)}' for s in range(4))} end"
+    moved = "case initial when 's' then 1 when 'u' then 2 else 3 end"
+    end = [0, 2 * INSERT, INSERT, 0]
+    return f"""
+with recursive given as (
+  select *, {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+  from (select conv_id, turn, coalesce(role, ' ') as role0, coalesce(text, ' ') as text0 from conversations) t),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role0 end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text0, '[.!?]', '', 'g') else text0 end as text,
+    row_number() over (partition by conv_id order by turn nulls first, role0, text0, copy) as pos
+  from given, (values (1), (2)) copies(copy) where kind <> 0 and (copy = 1 or kind = 3)),
+faulty as (
+  select *, substr(role, 1, 1) as initial,
+    case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault,
+    lag(substr(role, 1, 1)) over (partition by conv_id order by pos) as before
+  from damaged),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) as n,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id),
+every as (
+  select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(n, 0) as n, coalesce(blank, 0) as blank,
+    coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal
+  from (select distinct conv_id from conversations) c left join counts k on k.conv_id is not distinct from c.conv_id),
+back(conv_id, pos, c0, c1, c2, c3, e0, e1, e2, e3) as (
+  select conv_id, n + 1, {end[0]}, {end[1]}, {end[2]}, {end[3]}, '', 'I', 'I', '' from every
+  union all
+  select conv_id, pos, n0, n1, n2, n3, {", ".join(edits)}
+  from (select *, {", ".join(f"{f} as n{s}" for s, f in enumerate(final))}
+    from (select *, {best} from (select *, {", ".join(map(ways, range(4)))}
+      from (select b.c0, b.c1, b.c2, b.c3, f.conv_id, f.pos, f.initial, f.fault in ('blank', 'duplicate') as bad,
+          case when f.fault = 'truncated' then {TRUNCATED} else 0 end as extra
+        from back b join faulty f on f.conv_id is not distinct from b.conv_id and f.pos = b.pos - 1) x) y) z) v),
+walk(conv_id, pos, state, audit, out) as (
+  select conv_id, 1, {START}, '', null::varchar from every
+  union all
+  select conv_id, case when edit = 'I' then pos else pos + 1 end,
+    case edit when 'D' then state when 'K' then {moved}
+      else case {written} when 'u' then {USER} else {ASSISTANT} end end,
+    audit || edit,
+    case when edit = 'D' then out else coalesce(out || chr(10), '') ||
+      case edit when 'K' then role else case {written} when 'u' then 'user' else 'assistant' end end || ':' ||
+      case edit when 'I' then '' else text end end
+  from (select w.*, {one_of("b.e")} as edit, f.role, f.text, f.initial
+    from walk w join back b on b.conv_id is not distinct from w.conv_id and b.pos = w.pos
+    left join faulty f on f.conv_id is not distinct from w.conv_id and f.pos = w.pos) x
+  where edit <> ''),
+ends as (select conv_id, max_by(audit, length(audit)) as audit, max_by(coalesce(out, ''), length(audit)) as out from walk group by conv_id)
+select e.conv_id, gaps, blank, duplicate, truncated, illegal, b.c0::bigint as cost, audit, sha256(out) as repaired_sha256
+from every e join ends n on n.conv_id is not distinct from e.conv_id
+  join back b on b.conv_id is not distinct from e.conv_id and b.pos = 1
+"""
+
+
+SQL = _sql()

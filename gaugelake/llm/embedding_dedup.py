@@ -177,3 +177,22 @@ def near_duplicates(
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: Links and components in DuckDB's SQL, over all pairs; for tables on which that is possible.
+SQL = f"""
+with recursive vectors as (
+  select vec_id, e, sqrt(list_dot_product(e, e)) as norm
+  from (select vec_id, embedding::double[] as e from embeddings) v
+  where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and list_max(e) - list_min(e) + abs(list_min(e)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id
+  where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD} else false end),
+reached(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reached r join links l on l.a = r.other),
+roots as (select vec_id, min(other) as component_id from reached group by vec_id),
+counts as (select a, count(*) as n from links group by a)
+select r.vec_id, coalesce(n, 0) as n_links, component_id, r.vec_id = component_id as kept
+from roots r left join counts c on c.a = r.vec_id
+"""

@@ -168,3 +168,65 @@ def tampered() -> Column:
     changed = [F.translate("text", upper, upper.lower()) if c == "text" else F.col(c) for c in FIELDS]
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     return F.when(chosen, leaf(*changed))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in DuckDB's SQL, bit by bit; 3988292384 is the fixed polynomial."""
+    bit = "case when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end"
+    byte = f"list_reduce([xor(c, b)] || range(8), lambda a, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce([4294967295::bigint] || {codes}, lambda c, b: {byte}), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value}::varchar end"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field_sql, FIELDS)) + ")"
+_CHANGED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TAMPERED = "sha256(" + " || ".join(_field_sql(_CHANGED if c == "text" else c) for c in FIELDS) + ")"
+_CLIMB = f"""
+  select g, level + 1, idx // {ARITY} as idx, (n + {ARITY - 1}) // {ARITY} as n, sha256(string_agg(digest, '' order by idx))
+  from {{0}} where n > 1 group by g, level, idx // {ARITY}, n"""
+
+#: The manifest in DuckDB's SQL.
+SQL = f"""
+with recursive leaves as (
+  select doc_id, coalesce('=' || lang, '') as g, {_LEAF} as leaf,
+    case when {crc32_sql("doc_id::varchar")} % 3 = 0 then {_TAMPERED} end as tampered
+  from documents),
+placed as (
+  select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as idx,
+    count(*) over (partition by g) as n
+  from leaves),
+nodes(g, level, idx, n, digest) as (
+  select g, 0, idx, n, leaf from placed union all {_CLIMB.format("nodes")}),
+subroots as (
+  select g, digest as subroot, row_number() over (order by g) - 1 as nth, count(*) over () as n from nodes where n = 1),
+upper(g, level, idx, n, digest) as (
+  select '', 0, nth, n, subroot from subroots union all {_CLIMB.format("upper")}),
+walked as (
+  select p.g, p.idx, s.level, s.digest, s.idx as place, p.idx // ({ARITY} ** s.level)::bigint as own
+  from placed p join nodes s on s.g = p.g and s.n > 1
+    and s.idx // {ARITY} = p.idx // ({ARITY} ** (s.level + 1))::bigint
+  union all
+  select p.g, p.idx, 1000 + u.level, u.digest, u.idx, s.nth // ({ARITY} ** u.level)::bigint
+  from placed p join subroots s on s.g = p.g join upper u on u.n > 1
+    and u.idx // {ARITY} = s.nth // ({ARITY} ** (u.level + 1))::bigint),
+steps as (
+  select g, idx, level, row_number() over (partition by g, idx order by level) as step,
+    coalesce(string_agg(digest, '' order by place) filter (place < own), '') as l,
+    coalesce(string_agg(digest, '' order by place) filter (place > own), '') as r
+  from walked group by g, idx, level),
+folds(g, idx, step, digest) as (
+  select g, idx, 0, coalesce(tampered, leaf) from placed
+  union all
+  select f.g, f.idx, f.step + 1, sha256(s.l || f.digest || s.r)
+  from folds f join steps s on s.g = f.g and s.idx = f.idx and s.step = f.step + 1),
+proofs as (select g, idx, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from steps group by g, idx),
+ends as (select g, idx, arg_max(digest, step) as folded_root from folds group by g, idx)
+select p.doc_id, p.leaf, s.subroot, u.digest as root, coalesce(q.proof_sha256, sha256('')) as proof_sha256,
+  e.folded_root, e.folded_root = u.digest as verified
+from placed p join subroots s on s.g = p.g join upper u on u.n = 1
+  join ends e on e.g = p.g and e.idx = p.idx left join proofs q on q.g = p.g and q.idx = p.idx
+"""

@@ -139,4 +139,8 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op8_embeddings": embedding_dedup.SQL,
+    "op11_manifest": manifest.SQL,
+    "op12_conversations": conversations.SQL,
 }

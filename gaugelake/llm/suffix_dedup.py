@@ -417,3 +417,33 @@ def deduplicated(docs: DataFrame, many: int = MANY) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     return with_spans(docs, many).mapInArrow(run, schema)
+
+
+#: The removal in DuckDB's SQL: all strings of 50 bytes, as hex digits, by their first document.
+SQL = f"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (
+  select doc_id, lo, substr(h, 2 * lo + 1, 2 * (256 + {LENGTH - 1})) as part
+  from (select doc_id, h, unnest(range(0, length(h) // 2, 256)) as lo from texts) w),
+strings as (
+  select doc_id, lo + j as i, substr(part, 2 * j + 1, {2 * LENGTH}) as s
+  from (select doc_id, lo, part, unnest(range(0, length(part) // 2 - {LENGTH - 1})) as j from parts) w),
+firsts as (select s, min(doc_id) as first from strings group by s having min(doc_id) < max(doc_id)),
+starts as (
+  select doc_id, i, lag(i) over (partition by doc_id order by i) as before
+  from strings join firsts using (s) where first < doc_id),
+runs as (
+  select doc_id, min(i) as a, max(i) + {LENGTH} as b, row_number() over (partition by doc_id order by min(i)) as nth
+  from (select *, sum(case when before is null or i > before + {LENGTH} then 1 else 0 end)
+      over (partition by doc_id order by i) as run from starts) r
+  group by doc_id, run),
+removed as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(nth) as last from runs group by doc_id),
+kept as (
+  select r.doc_id, string_agg(substr(h, 2 * coalesce(p.b, 0) + 1, 2 * (r.a - coalesce(p.b, 0))), '' order by r.nth)
+    || substr(any_value(h), 2 * max(r.b) + 1) as h
+  from runs r join texts t on t.doc_id = r.doc_id left join runs p on p.doc_id = r.doc_id and p.nth = r.nth - 1
+  group by r.doc_id)
+select t.doc_id, length(t.h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(k.h, t.h))) as kept_sha256
+from texts t left join removed m on m.doc_id = t.doc_id left join kept k on k.doc_id = t.doc_id
+"""

@@ -496,12 +496,13 @@ def test_pipeline_stages_on_odd_tables(spark, repeated, docs, nothing):
         assert stage(spark, nothing, folder).count() == 0
 
 
-def test_mixing_equals_its_sql(spark):
+def test_queries_equal_their_sql(spark):
     import duckdb
 
     folder = f"{DATA}/sf0.001"
     base = duckdb.connect()
-    base.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        base.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     for name, sql in queries.ORACLE.items():
         found = queries.QUERIES[name](spark, folder)
         answer = base.execute(sql)
