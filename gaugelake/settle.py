@@ -70,3 +70,16 @@ def clear_settled(spark: SparkSession) -> None:
     app = spark.conf.get("spark.app.id", "app")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/gaugelake/{app}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores, if the table is smaller than a split for each of them.
+
+    For small tables in few splits whose rows take long to work on, such as documents to be parsed;
+    the shuffle moves less than a split a core. Larger tables come in splits enough.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugelake.schemas import GAUGE_XML, TIDE_JSON
+from gaugelake.settle import dealt_out
 
 # Fixed values: (request kind, list in the answer, entity, note).
 TIDE_KINDS = {
@@ -48,7 +49,8 @@ def tide_rows(payloads: DataFrame, *kinds: str) -> DataFrame:
         name: F.coalesce(*(F.when(F.col("type") == k, TIDE_KINDS[k][n]) for k in kinds))
         for n, name in ((1, "entity"), (2, "notes"))
     }
-    rows = _each(tide_points(payloads.where(F.col("type").isin(list(kinds)))), F.col("points"))
+    asked = dealt_out(payloads.where(F.col("type").isin(list(kinds))))
+    rows = _each(tide_points(asked), F.col("points"))
     return rows.select(
         "id",
         "type",
