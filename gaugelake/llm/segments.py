@@ -20,9 +20,9 @@ LETTER, MARK = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", b".,;:|!?&$%*#"
 #: A segment that is a single match of the pattern.
 WORD = re.compile(f" ?[{LETTER}]+")
 #: Segments that a worker remembers, ids of them, and the bytes up to which a long one is remembered.
-MEMORY, IDS, LONGEST = 600_000, 8_000_000, 256
+MEMORY, IDS, LONGEST = 400_000, 4_000_000, 256
 #: Segments that are looked up at once, and bytes of text that a caller should give at once.
-AT_ONCE, BYTES = 1 << 18, 1 << 22
+AT_ONCE, BYTES = 1 << 16, 1 << 21
 
 _CODES = np.arange(256)
 _SPACE = (_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13))
