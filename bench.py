@@ -35,6 +35,9 @@ HEADLINE = [
     "q_place_panel",
     "q_deeplink",
     "q_stream_changes",
+    "q_flood_status_days",
+    "q_top3_days",
+    "q_timeline_days",
 ]
 
 

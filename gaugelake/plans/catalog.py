@@ -24,7 +24,7 @@ from gaugelake.operators import (
     timeline_store,
 )
 from gaugelake.schemas import LOOKBACK_DAYS
-from gaugelake.settle import fresh_path, settle
+from gaugelake.settle import fresh_path, settle, together
 from gaugelake.sources import days, export, gauge_key, landed, payloads, testdata
 from gaugelake.sources.warehouse import Warehouse, water_levels
 from gaugelake.streaming import change_log, counts, snapshot
@@ -176,7 +176,8 @@ def q_latest_raw(w):
 
 
 def sensor_map_rows(w: Warehouse) -> DataFrame:
-    rows = mapped_rows(w, status.judge(_newest(w), AS_OF))
+    newest, surveys = together(lambda: _newest(w), lambda: latest.latest_surveys(w.surveys))
+    rows = mapped_rows(w, status.judge(newest, AS_OF), surveys)
     return status.status_color(rows, grey_when_missing=False)
 
 
@@ -201,8 +202,8 @@ def q_camera_locations(w):
 
 
 def camera_map_rows(w: Warehouse) -> DataFrame:
-    found = status.flood_status(w.readings, AS_OF).select("sensor_ID", "flood_status").distinct()
-    joined = _located(w).join(found, "sensor_ID", "left")
+    found, located = together(lambda: status.flood_status(w.readings, AS_OF), lambda: _located(w))
+    joined = located.join(found.select("sensor_ID", "flood_status").distinct(), "sensor_ID", "left")
     return status.status_color(joined, grey_when_missing=True)
 
 
@@ -506,8 +507,8 @@ def q_overlay_alt(w):
 
 
 def _chart(w: Warehouse, admin: bool) -> DataFrame:
-    meta = overlays.overlay_meta(_surveys(w))
-    constants = _constants(w)
+    surveys, constants = together(lambda: _surveys(w), lambda: _constants(w))
+    meta = overlays.overlay_meta(surveys)
     drawn = _overlay(w, meta, constants, "obs", "pred", "alt")
     return series.chart_series(_series(w), constants, [drawn], admin)
 
@@ -545,9 +546,14 @@ def q_intended_join(w):
 
 
 def health_rows(w: Warehouse) -> tuple[DataFrame, DataFrame]:
-    cameras = health.camera_health(_located(w), AS_OF)
-    judged = status.judge(_newest(w), AS_OF)
-    sensors = health.sensor_health(mapped_rows(w, judged), latest.latest_raw(w.raw), cameras)
+    newest, surveys, raw, located = together(
+        lambda: _newest(w),
+        lambda: latest.latest_surveys(w.surveys),
+        lambda: latest.latest_raw(w.raw),
+        lambda: _located(w),
+    )
+    cameras = health.camera_health(located, AS_OF)
+    sensors = health.sensor_health(mapped_rows(w, status.judge(newest, AS_OF), surveys), raw, cameras)
     return sensors, cameras
 
 

@@ -11,10 +11,13 @@ width of their types, exceed ``spark.sql.autoBroadcastJoinThreshold`` is never b
 """
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +42,40 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/gaugelake/{app}/{label}-{uuid.uuid4().hex}"
 
 
+_guard, _within = threading.Lock(), {}
+
+
 @contextmanager
 def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What runs within lets go of its shuffle files at its end."""
+    """What runs within lets go of its shuffle files at its end.
+
+    The setting is the session's. Threads that settle together share it: the first one sets it, the
+    last one puts it back.
+    """
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    key = spark.conf.get("spark.app.id", "app")
+    with _guard:
+        count, before = _within.get(key, (0, None))
+        if not count:
+            before = spark.conf.get(name, None)
+            spark.conf.set(name, "true")
+        _within[key] = count + 1, before
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        with _guard:
+            count, before = _within[key]
+            _within[key] = count - 1, before
+            if count == 1:
+                spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def together(*parts: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Parts of a query that each settle tables and don't need each other, started at once."""
+    in_session = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(parts)) as pool:
+        started = [pool.submit(in_session(part)) for part in parts]
+        return [found.result() for found in started]
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

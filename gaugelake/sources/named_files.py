@@ -2,7 +2,8 @@
 
 Rows are (file, line); those of a file follow one another in one task, as a file is one stream. A
 task writes below a folder of its own attempt. The files get their names when all tasks are done;
-if one fails for good, the folder goes and nothing is seen. Any file system that Arrow opens will do.
+if one fails for good, the folder goes and nothing is seen; what a task that still ran then writes stays
+in a hidden folder. Any file system that Arrow opens will do.
 """
 
 import sys

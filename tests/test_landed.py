@@ -108,4 +108,6 @@ def test_nothing_is_seen_after_a_failed_task(spark, tmp_path):
     )
     with pytest.raises(Exception, match="not a file name"):
         write_named(lines.repartition(4, "file").sortWithinPartitions("file"), str(tmp_path / "out"))
-    assert not os.path.exists(tmp_path / "out") or os.listdir(tmp_path / "out") == []
+    # A task that still ran when the job failed may leave something in the hidden folder.
+    left = os.listdir(tmp_path / "out") if os.path.exists(tmp_path / "out") else []
+    assert [name for name in left if not name.startswith("_")] == []

@@ -12,7 +12,7 @@ from gaugelake.schemas import READINGS
 from gaugelake.sources import warehouse
 
 FOLDER = f"{DATA}/sf0.001"
-STREAMED = {"q_stream_latest", "q_stream_status", "q_stream_changes"}
+STREAMED = {name for name in QUERIES if name.startswith("q_stream_")}
 
 
 def plan_of(df):

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from gaugelake.settle import clear_settled, settle, shared_folder
+from gaugelake.settle import clear_settled, dealt_out, settle, shared_folder, together
 
 
 def plan(df):
@@ -31,3 +31,21 @@ def test_settled_tables_can_be_cleared(spark):
     assert os.listdir(inside)
     clear_settled(spark)
     assert not os.path.exists(inside)
+
+
+def test_parts_settle_together_and_put_the_setting_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+
+    def part(n):
+        return lambda: settle(spark.range(n).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), f"p{n}")
+
+    found = together(*(part(n) for n in (10, 100, 1000)))
+    assert [t.agg(F.sum("n")).first()[0] for t in found] == [10, 100, 1000]
+    assert spark.conf.get(name, None) == before
+
+
+def test_only_small_tables_are_dealt_out(spark, monkeypatch):
+    assert dealt_out(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(0, 1 << 40, 1, 3)
+    assert dealt_out(large) is large
