@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gaugelake.llm import (
+    bpe,
     attention,
     components,
     embedding_dedup,
@@ -397,7 +398,8 @@ def test_every_id_is_scored_once(spark):
     tables = attention.Tables(np.bincount(words.column, counts, size), *rng.integers(0, 3, (2, size, size)))
     w = attention.initial(tables)
     ids = [rng.integers(0, 3000, n) for n in (0, 1, 31, 32, 33, 100, 57)]
-    got = lm.log_probability(ids, w, tables, words, 2999)
+    each = lm.log_probability(ids, w, tables, words, 2999)
+    got = [part.sum() for part in np.split(each, np.cumsum([len(i) for i in ids])[:-1])]
     # Before training, attention adds nothing, so each id depends on the two before it only.
     for n, seq in enumerate(ids):
         seq = np.concatenate([[2999], seq])
@@ -410,6 +412,69 @@ def test_every_id_is_scored_once(spark):
         assert math.isclose(got[n], want, rel_tol=1e-3, abs_tol=1e-3)
 
 
+def test_words_own_their_ids(docs, texts):
+    """Each word's ids decode to the white space before it and the word, those of the end to what is left."""
+    name = lm._name
+    frequent = {name(b"the"): 9, name(b"of"): 4}
+    table = bpe.token_bytes(bpe.from_file(WORDS))
+    for r in lm.encoded(docs, WORDS, frequent).collect():
+        text = (texts[r["doc_id"]] or "").encode().lower()
+        words, ids = text.split(), np.frombuffer(r["ids"], "<u2")
+        spans, counts = np.frombuffer(r["spans"], "<u4"), np.frombuffer(r["counts"], "<f4")
+        assert len(spans) == len(words) + 1 == r["n_tokens"] and spans.sum() == len(ids)
+        parts = [b"".join(table[i] for i in part) for part in np.split(ids, np.cumsum(spans)[:-1])]
+        assert [p.strip() for p in parts[:-1]] == words and b"".join(parts[:-1]) + parts[-1].removesuffix(b"<|endoftext|>") == text
+        assert counts.tolist() == [{b"the": 9, b"of": 4}.get(w, 0) for w in words]
+        assert np.frombuffer(r["earlier"], "<f4").tolist() == [words[:n].count(w) for n, w in enumerate(words)]
+
+
+def test_scores_equal_a_plain_loop(spark):
+    """A tiny model: every word by its ids, its share in the corpus and in the text before it."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, 3000)
+    words = lm.Vocabulary(counts, np.arange(3000))
+    size = attention.ROWS
+    tables = attention.Tables(np.bincount(words.column, counts, size), *rng.integers(0, 3, (2, size, size)))
+    w = attention.initial(tables)
+    texts, rows = [[3, 1, 2, 2], [], [1] * 60, [2, 1, 0, 5]], []
+    for n, spans in enumerate(texts):
+        ids = np.append(rng.integers(0, 2999, sum(spans)), 2999)
+        own = rng.integers(0, 5, len(spans)) * 1.0
+        before = rng.integers(0, 3, len(spans)) * 1.0
+        rows.append((n, ids, [*spans, 1], own, before))
+    sent = [
+        (n, i.astype("<u2").tobytes(), np.array(s, "<u4").tobytes(), c.astype("<f4").tobytes(), b.astype("<f4").tobytes())
+        for n, i, s, c, b in rows
+    ]
+    df = spark.createDataFrame(sent, "n long, ids binary, spans binary, counts binary, earlier binary")
+    found = lm.scored(df, w, spark.sparkContext.broadcast(tables), words, 2999, 100, 4)
+    got = {r["n"]: r["score"] for r in found.collect()}
+    for n, ids, spans, own, before in rows:
+        seq, at, want = np.concatenate([[2999], ids]), 1, 0.0
+        for k, span in enumerate(spans):
+            logs = 0.0
+            for t in range(at, at + span):
+                x = words.column[seq[max(0, t - 2) : t]][None]
+                y = np.full(x.shape, -1)
+                y[0, -1] = words.column[seq[t]]
+                logs += float(attention.forward(w, tables, x, y)[0][0]) + words.within[seq[t]]
+            at += span
+            c, b = (4, 0) if k == len(spans) - 1 else (own[k], before[k])
+            cache = lm.CACHE * k / (k + lm.PRIOR)
+            share = lm.SHARE * max(c - 0.5, 0) / 100 + cache * b / max(k, 1)
+            want += math.log(share + (1 - lm.SHARE - cache) * math.exp(logs))
+        assert math.isclose(got[n], want / math.log(10), rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_rarer_words_meet_their_counts_in_a_join(docs, monkeypatch):
+    """With few words sent to all tasks the rest comes by the join, and the sums stay."""
+    columns = ["doc_id", "n_known", "train_tokens", "base_score"]
+    plain = {r["doc_id"]: tuple(r) for r in lm.score(docs, WORDS).select(*columns).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    for r in lm.score(docs, WORDS).select(*columns).collect():
+        assert tuple(r)[:3] == plain[r["doc_id"]][:3] and math.isclose(r["base_score"], plain[r["doc_id"]][3], rel_tol=1e-9)
+
+
 def test_all_ids_are_trained_on(spark):
     """Rows of the model that only the later parts of a long text use are learnt as well."""
     rng = np.random.default_rng(3)
