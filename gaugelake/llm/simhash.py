@@ -7,6 +7,8 @@ are added up, and a pair is dropped as soon as it exceeds the budget. Block valu
 many fingerprints are split once more into pairs of sub-tries, so no task holds such a block.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -217,16 +219,19 @@ def near_duplicates(docs: DataFrame, large: int = LARGE) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    All columns are kept. Of repeated rows of one doc_id, one stays. Rows without doc_id can't
+    ``groups`` gives each row's ``component_id``; ``near_texts.near_texts`` is the one for similar
+    texts. All columns are kept. Of repeated rows of one doc_id, one stays. Rows without doc_id can't
     be told apart and stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"))
+    found = groups(docs.where("doc_id is not null"))
     kept = settle(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
     # The rows travel as one column, so that theirs can have any names.
-    rows = docs.where("doc_id is not null").select("doc_id", F.struct("*").alias("row"), F.col("text").alias("tie"))
+    rows = docs.where("doc_id is not null").select(
+        "doc_id", F.struct("*").alias("row"), F.col("text").alias("tie")
+    )
     named = rows.join(kept, "doc_id", "left_semi")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("tie"))
     named = named.withColumn("place", order).where("place = 1")

@@ -10,9 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain_texts import similar_groups
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -515,7 +515,7 @@ def test_pipeline(spark):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     one = distinct(spark, kept, folder).cache()
     rows = kept.collect()
-    groups = grouped([r["doc_id"] for r in rows], [plain_fingerprint(r["text"]) for r in rows])
+    groups = similar_groups([r["doc_id"] for r in rows], [r["text"] for r in rows])
     assert {r["doc_id"] for r in one.collect()} == set(groups)
     hidden = private(spark, one, folder).cache()
     before = {r["doc_id"]: r["text"] for r in one.collect()}
