@@ -7,7 +7,7 @@ stage. What each does with nulls, empty texts and repeated rows is said below.
 
 import public_tokenizers
 
-from gaugelake.llm import bpe, mixing, pii, quality, simhash
+from gaugelake.llm import bpe, mixing, near_texts, pii, quality, simhash
 from gaugelake.settle import settle
 
 
@@ -24,10 +24,11 @@ def good(spark, docs, sf_dir):
 def distinct(spark, docs, sf_dir):
     """One document of each group of near-duplicates, the one with the smallest doc_id.
 
+    Near-duplicates share about 0.8 of their shingles of five words, or are linked by such texts.
     Null and empty texts are near-duplicates of each other. Of repeated rows of a doc_id one stays,
     of tied texts the first; rows without doc_id all stay.
     """
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, near_texts.near_texts)
 
 
 def private(spark, docs, sf_dir):
