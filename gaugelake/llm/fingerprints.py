@@ -4,10 +4,10 @@ A text is the multiset of its pieces (sentences, clauses, lines; see ``CUT``). E
 hashed to a wide vector, and the fingerprint is the sum of the vectors, lane by lane, modulo
 powers of two. The order of pieces doesn't matter, and adding or taking away a piece's vector
 updates a fingerprint. The vector has two parts: ``WIDE`` dense lanes, which tell whether
-two multisets are equal, and groups of sparse lanes, of which a piece touches one. How many
-sparse lanes differ estimates how many pieces differ; each group holds a quarter of the
-pieces of the group before it. The last one holds one of four million pieces, so that one of
-them suits a text of any length that a string can have.
+two multisets are equal and are hashed from the piece under a seed each, and groups of sparse
+lanes, of which a piece touches one. How many sparse lanes differ estimates how many pieces
+differ; each group holds a quarter of the pieces of the group before it. The last one holds one
+of four million pieces, so that one of them suits a text of any length that a string can have.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +26,18 @@ MOST_BUCKETS = 10_000
 
 
 def pieces(text: Column) -> Column:
-    """Hashes of the pieces of a text; empty pieces don't count."""
+    """Hashes of the pieces of a text; empty pieces don't count.
+
+    ``h`` is for the sparse lanes, ``w0`` and on are independent ones for the dense lanes.
+    """
     kept = F.filter(F.split(text, CUT), lambda p: p != "")
-    return F.transform(kept, lambda p: F.xxhash64(p))
+    return F.transform(
+        kept,
+        lambda p: F.struct(
+            F.xxhash64(p).alias("h"),
+            *(F.xxhash64(F.lit(n), p).alias(f"w{n}") for n in range(WIDE)),
+        ),
+    )
 
 
 def _bits(value: Column, at: int, count: int) -> Column:
@@ -45,14 +54,14 @@ def vector(hashes: Column) -> Column:
     """The fingerprint of a multiset of piece hashes: dense lanes, then the sparse groups."""
     dense = F.array(
         *(
-            _total(hashes, lambda h: _bits(F.xxhash64(h, F.lit(n)), 0, WIDE_BITS), WIDE_BITS)
+            _total(hashes, lambda h: _bits(h[f"w{n}"], 0, WIDE_BITS), WIDE_BITS)
             for n in range(WIDE)
         )
     )
     zeros = F.array_repeat(F.lit(0).cast("long"), LANES)
     groups = []
     for group in range(GROUPS):
-        own = F.filter(hashes, lambda h: _bits(h, 40, 2 * group) == 0) if group else hashes
+        own = F.filter(hashes, lambda h: _bits(h["h"], 40, 2 * group) == 0) if group else hashes
         # The lambda must not see the filter, or each lane would run it again.
         lanes = F.transform(
             F.array(own),
@@ -62,7 +71,7 @@ def vector(hashes: Column) -> Column:
                     lambda lane: _total(
                         own,
                         lambda h: F.when(
-                            _bits(h, 0, 5) == lane, _bits(h, 8, LANE_BITS).bitwiseOR(F.lit(1))
+                            _bits(h["h"], 0, 5) == lane, _bits(h["h"], 8, LANE_BITS).bitwiseOR(F.lit(1))
                         ).otherwise(F.lit(0).cast("long")),
                         LANE_BITS,
                     ),

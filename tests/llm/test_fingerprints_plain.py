@@ -1,0 +1,63 @@
+"""Fingerprints and their likeness over a whole table, against a plain version."""
+
+import math
+import re
+
+import xxhash
+
+from gaugelake.llm import fingerprints, queries
+
+CUT = re.compile(r"(?<=[.!?,;:|\n])|(?<=e )")
+WIDE, WIDE_BITS, LANES, GROUPS = 4, 60, 32, 12
+
+
+def plain_vector(text):
+    dense, sparse = [0] * WIDE, [[0] * LANES for _ in range(GROUPS)]
+    for piece in filter(None, CUT.split(text)):
+        data = piece.encode()
+        h = xxhash.xxh64_intdigest(data, 42)
+        for n in range(WIDE):
+            seed = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), 42)
+            dense[n] = (dense[n] + xxhash.xxh64_intdigest(data, seed)) % (1 << WIDE_BITS)
+        for group in range(GROUPS):
+            if (h >> 40) % (1 << 2 * group) == 0:
+                sparse[group][h % 32] = (sparse[group][h % 32] + ((h >> 8) & 0xFFFF | 1)) % (1 << 16)
+    return dense, sparse
+
+
+def digits(vector):
+    dense, sparse = vector
+    return "".join(f"{x:015x}" for x in dense) + "".join(f"{x:04x}" for g in sparse for x in g)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    found = 0.0
+    for group in reversed(range(GROUPS)):
+        pairs = list(zip(a[1][group], b[1][group], strict=True))
+        used, apart = sum(x or y for x, y in map(lambda p: (p[0] != 0, p[1] != 0), pairs)), sum(x != y for x, y in pairs)
+        count = lambda n: -math.log(1 - min(n, LANES - 0.5) / LANES)
+        share = 1 - count(apart) / count(used) if used else 0.0
+        if group == GROUPS - 1 or used <= 28:
+            found = share
+    return max(0.0, found)
+
+
+def test_query_equals_plain(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(i, t or "") for i, t in sorted(map(tuple, docs))]
+    vectors = [plain_vector(t) for _, t in texts]
+    rows = {r["doc_id"]: r for r in queries.op7_fingerprints(spark, folder).collect()}
+    assert len(rows) == len(texts) and len({i for i, _ in texts}) == len(texts)
+    for n, (i, text) in enumerate(texts):
+        after = (n + 1) % len(texts)
+        quarter = len(text) // 4
+        edited = plain_vector(text[: len(text) - quarter] + texts[after][1][:quarter])
+        row = rows[i]
+        assert row["fingerprint"] == digits(vectors[n])
+        assert row["edited_fingerprint"] == digits(edited)
+        assert abs(row["near_edited"] - plain_likeness(vectors[n], edited)) < 1e-9
+        assert abs(row["near_next"] - plain_likeness(vectors[n], vectors[after])) < 1e-9
+    assert fingerprints.WIDE == WIDE and fingerprints.GROUPS == GROUPS
