@@ -16,9 +16,10 @@ def plain_vector(text):
     for piece in filter(None, CUT.split(text)):
         data = piece.encode()
         h = xxhash.xxh64_intdigest(data, 42)
+        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
         for n in range(WIDE):
-            seed = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), 42)
-            dense[n] = (dense[n] + xxhash.xxh64_intdigest(data, seed)) % (1 << WIDE_BITS)
+            lane = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed)
+            dense[n] = (dense[n] + lane) % (1 << WIDE_BITS)
         for group in range(GROUPS):
             if (h >> 40) % (1 << 2 * group) == 0:
                 sparse[group][h % 32] = (sparse[group][h % 32] + ((h >> 8) & 0xFFFF | 1)) % (1 << 16)
