@@ -1,11 +1,15 @@
 """Answers and downloads as files."""
 
 import os
+from collections import Counter
 
 import pytest
+from data import DATA
 
+from gaugelake.operators import latest
+from gaugelake.plans.catalog import QUERIES
 from gaugelake.schemas import GAUGE_KEY, READINGS, SURVEYS
-from gaugelake.sources import export, gauge_key, landed, payloads
+from gaugelake.sources import export, gauge_key, landed, payloads, testdata
 from gaugelake.sources.named_files import write_named
 
 
@@ -82,6 +86,25 @@ def test_tied_surveys_and_keys_stay_linear(spark, frame):
     assert sorted(r["gauge_sensor_id"] for r in found) == [str(n) for n in range(10)]
 
 
+def test_every_tied_survey_meets_every_key(spark, frame):
+    surveys = [dict(sensor_ID="A", wl_id="X", notes=str(n)) for n in range(3)] + [dict(sensor_ID="B", wl_id="Y")]
+    key = [dict(site_id="X", Sensor="Water Elevation", gauge_sensor_id=k) for k in ("1", "HG", "HG")]
+    key += [dict(site_id="X", Sensor="Battery", gauge_sensor_id="2"), dict(site_id="Y", Sensor="Water Elevation")]
+    found = gauge_key.survey_keys(frame(GAUGE_KEY, key), frame(SURVEYS, surveys)).collect()
+    assert Counter(map(tuple, found)) == {("A", "X", "1"): 3, ("A", "X", "HG"): 6, ("B", "Y", None): 1}
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_the_lookup_drops_no_survey_and_no_key(spark, scale):
+    """As many rows as newest surveys have water-elevation rows of their gauges, counted one by one."""
+    folder = f"{DATA}/{scale}"
+    keys = Counter(
+        r["site_id"] for r in QUERIES["q_gauge_key"](spark, folder).collect() if r["Sensor"] == "Water Elevation"
+    )
+    newest = latest.latest_surveys(testdata.load(spark, folder).surveys).collect()
+    assert QUERIES["q_gauge_lookup"](spark, folder).count() == sum(keys[r["wl_id"]] for r in newest)
+
+
 def test_named_files_are_ordered_and_exact(spark, frame, tmp_path):
     rows = [
         dict(sensor_ID=s, date=f"2024-01-{1 + (n * 7) % 28:02} 06:00:00", sensor_elevation=1.0, sensor_water_level_adj=n / 8)
