@@ -492,6 +492,38 @@ def test_all_ids_are_trained_on(spark):
     assert changed[np.unique(words.column[long[:-1]])].all()
 
 
+def test_descent_is_adam():
+    """Weights moved in parts equal those of the formulas, name by name."""
+    rng = np.random.default_rng(6)
+    size = attention.ROWS
+    tables = attention.Tables(rng.integers(0, 50, size), *rng.integers(0, 3, (2, size, size)))
+    w = attention.initial(tables)
+    batches = [(rng.integers(0, size, (3, 20)), rng.integers(-1, size, (3, 20))) for _ in range(3)]
+    got = attention.descend(w, tables, batches)
+    m, r = ({n: np.zeros(v.shape) for n, v in w.items()} for _ in range(2))
+    for step, (x, y) in enumerate(batches, 1):
+        for n, slope in attention.gradients(w, tables, x, y)[1].items():
+            m[n] = 0.9 * m[n] + 0.1 * slope
+            r[n] = 0.99 * r[n] + 0.01 * slope.astype(float) ** 2
+            move = 0.004 * m[n] / (1 - 0.9**step) / (np.sqrt(r[n] / (1 - 0.99**step)) + 1e-8)
+            w = w | {n: (w[n] - move).astype(np.float32)}
+    for n in w:
+        assert np.allclose(got[n], w[n], atol=2e-3) and np.mean(abs(got[n] - w[n])) < 1e-5, n
+
+
+def test_scoring_is_dealt_over_the_cores(docs, monkeypatch):
+    """A table in one split is scored by several tasks; all rows come back."""
+    plain, seen = lm.scored, []
+
+    def watched(rows, *more):
+        seen.append(rows.rdd.getNumPartitions())
+        return plain(rows, *more)
+
+    monkeypatch.setattr(lm, "scored", watched)
+    assert lm.score(docs.coalesce(1), WORDS).count() == docs.count()
+    assert seen[0] > 1
+
+
 # Queries and pipeline
 
 
