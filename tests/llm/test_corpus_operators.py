@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import pickle
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -511,6 +515,62 @@ def test_descent_is_adam():
         assert np.allclose(got[n], w[n], atol=2e-3) and np.mean(abs(got[n] - w[n])) < 1e-5, n
 
 
+def test_lookups_equal_products():
+    """What weights that stay say of every id, looked up, gives the log probabilities of the products."""
+    rng = np.random.default_rng(7)
+    size = attention.ROWS
+    tables = attention.Tables(rng.integers(0, 50, size), *rng.integers(0, 3, (2, size, size)))
+    w = {n: v + 0.1 * rng.standard_normal(v.shape).astype(np.float32) for n, v in attention.initial(tables).items()}
+    still = attention.Still(w, tables)
+    for length, first in ((attention.WINDOW, 0), (attention.WINDOW, 32), (5, 0), (1, 0)):
+        x, y = rng.integers(0, size, (4, length)), rng.integers(-1, size, (4, length))
+        plain = attention.forward(w, tables, x, y, first)[0]
+        assert len(plain) == (y[:, first:] >= 0).sum()
+        assert np.allclose(plain, attention.forward(w, tables, x, y, first, still)[0], atol=1e-4)
+
+
+def test_steps_keep_their_memory(tmp_path):
+    """Steps in a worker that was sent the counts use memory it has already, not new pages each time."""
+    rng = np.random.default_rng(8)
+    size = attention.ROWS
+    tables = attention.Tables(rng.integers(0, 50, size), *rng.integers(0, 3, (2, size, size)))
+    x, y = rng.integers(0, size, (2, 32, attention.WINDOW))
+    (tmp_path / "sent").write_bytes(pickle.dumps((tables, x, y)))
+    code = """
+import pickle, resource, sys
+from gaugelake.llm import attention
+attention.one_thread()
+tables, x, y = pickle.load(open(sys.argv[1], "rb"))
+w = attention.initial(tables)
+faults = []
+for _ in range(25):
+    attention.gradients(w, tables, x, y)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(faults[-1] - faults[4])
+"""
+    root = Path(lm.__file__).parents[2]
+    run = [sys.executable, "-c", code, str(tmp_path / "sent")]
+    said = subprocess.run(run, cwd=root, capture_output=True, text=True, check=True)
+    assert int(said.stdout) < 2000
+
+
+def test_odd_words_in_one_batch(spark):
+    """Null, empty and blank texts among others: each text's words are its own, repeats counted in it only."""
+    texts = [None, "", " \t\n", "The the  THE of x", "of the x\n", None, "x " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    frequent = {lm._name(b"the"): 9, lm._name(b"of"): 4}
+    found = {r["doc_id"]: r for r in lm.encoded(docs, WORDS, frequent).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    for n, text in enumerate(texts):
+        words, r = (text or "").lower().encode().split(), found[n]
+        times = Counter(words)
+        assert r["n_tokens"] == len(words) + 1 and r["n_known"] == times[b"the"] + times[b"of"]
+        assert math.isclose(r["log_counts"], times[b"the"] * math.log10(9.5) + times[b"of"] * math.log10(4.5))
+        assert dict(zip(r["rare"], r["rare_n"], strict=True)) == {lm._name(w): c for w, c in times.items() if w == b"x"}
+        assert np.frombuffer(r["earlier"], "<f4").tolist() == [words[:at].count(w) for at, w in enumerate(words)]
+        assert np.frombuffer(r["spans"], "<u4").sum() * 2 == len(r["ids"])
+
+
 def test_scoring_is_dealt_over_the_cores(docs, monkeypatch):
     """A table in one split is scored by several tasks; all rows come back."""
     plain, seen = lm.scored, []
